@@ -1,0 +1,83 @@
+"""Percentiles of very large numeric columns by cumulative frequencies.
+
+A group's values are reduced to (value, count) pairs, a state that adds up over files and days. Percentiles come from running sums over the pairs in order of
+value: groups with very many distinct values are range-cut into slices, each slice's running sum starts from the total of the slices before it, and the
+first value whose cumulative count reaches the target rank is picked.
+
+With ``bits`` set, values are first reduced to buckets of relative width 2**-bits, so a group has at most ``2 * 64 * 2**bits`` pairs whatever its size,
+and a percentile is off by at most a 2**-(bits+1) part of itself (integers below 2**bits are exact).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quern.plans.materialize import materialize
+from quern.plans.slices import SLICE, null_safe_join, slice_hot_groups
+
+STATE = ["value", "n"]
+
+
+def value_bucket(value: Column, bits: int) -> Column:
+    """The middle of the bucket of an integral ``value``: its leading ``bits + 1`` binary digits are kept, sign apart. Null stays null."""
+    size = F.abs(value.cast("long"))
+    # binary digits by way of a logarithm, put right where rounding took it over a power of two
+    guess = F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int")
+    one = F.lit(1).cast("long")
+    digits = guess - F.when(F.call_function("shiftleft", one, guess) > size, 1).otherwise(0) + F.when(F.call_function("shiftleft", one, guess + 1) <= size, 1).otherwise(0)
+    drop = F.greatest(digits - bits, F.lit(0))
+    low = F.call_function("shiftleft", F.call_function("shiftright", size, drop), drop)
+    middle = low + F.call_function("shiftright", F.call_function("shiftleft", one, drop), F.lit(1))
+    return F.when(value < 0, -middle).when(value.isNotNull(), middle)
+
+
+def value_counts(df: DataFrame, groups: list[str], value: Column, bits: int | None = None) -> DataFrame:
+    """The mergeable state: groups, ``value``, ``n``. Null values (and NaN, which no integer is) are left out; a null group is a group."""
+    counted = value_bucket(value, bits) if bits is not None else value
+    rows = df.select(*groups, counted.alias("value")).filter(F.col("value").isNotNull())
+    return rows.groupBy(*groups, "value").agg(F.count("*").alias("n"))
+
+
+def merge_states(states: DataFrame, groups: list[str]) -> DataFrame:
+    """Put states of files or days together, possibly dropping a grouping column: counts add up."""
+    return states.groupBy(*groups, "value").agg(F.sum("n").alias("n"))
+
+
+def percentiles_of_states(states: DataFrame, groups: list[str], percents: list[int], max_rows: int = 250_000, bounded: bool = False) -> DataFrame:
+    """Groups, ``n`` (values counted) and ``p<percent>`` for each percent: the first value whose cumulative count is at least ``ceil(n * percent / 100)``.
+
+    ``states`` has one row for each group and value. ``bounded`` says that a group has no more pairs than a bucketed state can have; otherwise hot groups
+    are cut into slices. Percent 0 gives the smallest value. Groups without values don't come out.
+    """
+    if bounded:
+        rows, before = states.withColumn(SLICE, F.lit(0)), F.lit(0).cast("long")
+    else:
+        sliced = slice_hot_groups(states, groups, "value", max_rows)
+        rows = sliced.carry(_before=(F.col("n"), "sum"))
+        before = F.coalesce(F.col("_before"), F.lit(0)).cast("long")
+    upto = Window.partitionBy(*groups, SLICE).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(*groups, "value", "n", (F.sum("n").over(upto) + before).alias("_upto"))
+    if bounded:
+        total = F.sum("n").over(Window.partitionBy(*groups))
+        rows = rows.withColumn("_total", total)
+    else:
+        totals = states.groupBy(*groups).agg(F.sum("n").alias("_total"))
+        rows = null_safe_join(rows, totals, groups)
+    picks = []
+    for p in percents:
+        rank = F.greatest(F.ceil(F.col("_total") * p / 100), F.lit(1))
+        picks.append(F.min(F.when(F.col("_upto") >= rank, F.col("value"))).alias(f"p{p}"))
+    return rows.groupBy(*groups).agg(F.first("_total").alias("n"), *picks)
+
+
+def percentiles(df: DataFrame, groups: list[str], value: Column, percents: list[int], bits: int | None = 8, max_rows: int = 250_000) -> DataFrame:
+    """Percentiles per group of ``df``, exact if ``bits`` is None, else with the bounded error of the module's states.
+
+    Nulls in ``value`` are not counted, a null group is a group of its own, repeated rows count as often as they stand, an empty table gives no rows, and
+    other columns are ignored.
+    """
+    states = value_counts(df, groups, value, bits)
+    if bits is None:
+        states = materialize(states, "value-counts")  # read to be counted, cut and summed
+    return percentiles_of_states(states, groups, percents, max_rows, bounded=bits is not None)
