@@ -34,7 +34,7 @@ class LoadPlan:
 
     def bin_task(self) -> Column:
         number = F.pmod(F.xxhash64(*self.keys), F.lit(BINS)).cast("int")
-        return F.element_at(F.lit(self.bins), number + 1)
+        return F.element_at(F.expr(f"array({', '.join(map(str, self.bins))})"), number + 1)
 
 
 def plan_loads(df: DataFrame, keys: list[str], tasks: int, split: int = 4) -> LoadPlan:
