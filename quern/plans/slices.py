@@ -32,6 +32,16 @@ class Sliced:
         return null_safe_join(self.df, F.broadcast(own), [*self.keys, SLICE])
 
 
+    def carry_after(self, **aggregates: tuple[Column, str]) -> DataFrame:
+        """As ``carry``, with the ``min`` over all later slices of the group (null in the last)."""
+        if not self.hot:
+            return self.df.withColumns({n: F.lit(None).cast(self.df.select(c).schema[0].dataType) for n, (c, _) in aggregates.items()})
+        own = self.df.filter("_cut").groupBy(*self.keys, SLICE).agg(*(F.min(c).alias(n) for n, (c, _) in aggregates.items()))
+        after = Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)
+        own = own.select(*self.keys, SLICE, *(F.min(n).over(after).alias(n) for n in aggregates))
+        return null_safe_join(self.df, F.broadcast(own), [*self.keys, SLICE])
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """A join on columns of equal names in which null meets null; the columns come once."""
     right = right.select(*(F.col(c).alias(f"_r_{c}" if c in on else c) for c in right.columns))
@@ -39,11 +49,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return joined.drop(*(f"_r_{c}" for c in on))
 
 
-def slice_hot_groups(df: DataFrame, keys: list[str], order: str, max_rows: int = 250_000) -> Sliced:
+def slice_hot_groups(df: DataFrame, keys: list[str], order: str, max_rows: int = 250_000, spread_ties: bool = True) -> Sliced:
     """Give each row a slice number that rises with ``order`` within its group; 0 everywhere in groups of at most ``max_rows`` rows.
 
     ``order`` must be an integral column. Rows with a null ``order`` stay in slice 0. Rows of equal ``order`` may be spread over neighbouring slices, so
-    even a group of copies is cut; what is computed over the slices must not depend on the order of ties.
+    even a group of copies is cut; what is computed over the slices must then not depend on the order of ties. Without ``spread_ties`` they stay together.
     """
     counts = df.groupBy(*keys).count()
     total = counts.agg(F.sum("count")).first()[0] or 0
@@ -70,6 +80,6 @@ def slice_hot_groups(df: DataFrame, keys: list[str], order: str, max_rows: int =
     df = null_safe_join(df, F.broadcast(bounds), keys)
     below = F.size(F.filter("_bounds", lambda b: b < F.col(order)))
     ties = F.size(F.filter("_bounds", lambda b: b == F.col(order)))
-    spread = F.when(ties > 0, F.pmod(F.xxhash64(F.monotonically_increasing_id()), ties + 1)).otherwise(0)
+    spread = F.when(ties > 0, F.pmod(F.xxhash64(F.monotonically_increasing_id()), ties + 1)).otherwise(0) if spread_ties else F.lit(0)
     number = F.when(F.col("_bounds").isNull() | F.col(order).isNull(), 0).otherwise(below + spread).cast("int")
     return Sliced(df.withColumns({SLICE: number, "_cut": F.col("_bounds").isNotNull()}).drop("_bounds"), keys, True)

@@ -1 +1 @@
-
+"""Span logs as streams."""
