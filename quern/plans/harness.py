@@ -29,15 +29,16 @@ def run_noop(df: DataFrame) -> None:
 
 def timed(spark: SparkSession, program: Callable[[], object], limit_s: float = 200.0) -> Outcome:
     """Run ``program`` with its Spark jobs under a tag, which is interrupted at the limit. Seconds are NaN unless it ends well in time."""
-    tag = f"quern-{uuid.uuid4().hex}"
+    sc, tag = spark.sparkContext, f"quern-{uuid.uuid4().hex}"
     late = threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag) if hasattr(spark, "interruptTag") else spark.sparkContext.cancelJobsWithTag(tag)
+        sc.cancelJobsWithTag(tag)
 
     timer = threading.Timer(limit_s, stop)
-    spark.addTag(tag)
+    sc.setInterruptOnCancel(True)  # else tasks run on after their job is cancelled
+    sc.addJobTag(tag)
     timer.start()
     began = time.perf_counter_ns()
     try:
@@ -48,7 +49,7 @@ def timed(spark: SparkSession, program: Callable[[], object], limit_s: float = 2
         return Outcome(NAN, TIMEOUT if late.is_set() else FAILED, str(e)[:500])
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        sc.removeJobTag(tag)
 
 
 def sweep(spark: SparkSession, programs: dict[str, Callable[[str], object]], confs: Iterable[str], apply_conf: Callable[[str], None], reps: int = 3, warm: int = 0, limit_s: float = 200.0, skip: Callable[[str, str], bool] = lambda *_: False) -> list[dict]:

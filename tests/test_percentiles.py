@@ -1,0 +1,61 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quern.operators.percentiles import merge_states, percentiles, percentiles_of_states, value_bucket, value_counts
+
+PERCENTS = [0, 1, 50, 90, 100]
+
+
+def exact(values):
+    values = sorted(values)
+    return tuple(values[max(math.ceil(len(values) * p / 100), 1) - 1] for p in PERCENTS)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(5)
+    out = [(r.choice(["a", "a", "a", "b", None]), r.choice([None, 1, 7, 7, r.randrange(10**10), -r.randrange(10**6)]), r.randrange(3), "clash") for _ in range(3000)]
+    return out + [("c", None, 0, ""), ("d", 5, 1, "")]
+
+
+@pytest.mark.parametrize("max_rows", [10**6, 50])
+def test_exact_percentiles_also_of_cut_groups(spark, rows, max_rows):
+    df = spark.createDataFrame(rows, "g string, v long, day int, n string")
+    got = {r["g"]: (r["n"], tuple(r[f"p{p}"] for p in PERCENTS)) for r in percentiles(df, ["g"], F.col("v"), PERCENTS, None, max_rows).collect()}
+    by = {}
+    for g, v, *_ in rows:
+        if v is not None:
+            by.setdefault(g, []).append(v)
+    assert got == {g: (len(v), exact(v)) for g, v in by.items()}
+
+
+def test_states_of_days_add_up_within_the_error(spark, rows):
+    df = spark.createDataFrame(rows, "g string, v long, day int, n string")
+    whole = percentiles(df, ["g"], F.col("v"), PERCENTS, 6).orderBy("g").collect()
+    days = value_counts(df, ["day", "g"], F.col("v"), 6)
+    assert percentiles_of_states(merge_states(days, ["g"]), ["g"], PERCENTS, bounded=True).orderBy("g").collect() == whole
+    truth = {r["g"]: r for r in percentiles(df, ["g"], F.col("v"), PERCENTS, None).collect()}
+    for r in whole:
+        assert r["n"] == truth[r["g"]]["n"]
+        for p in PERCENTS:
+            t = truth[r["g"]][f"p{p}"]
+            assert abs(r[f"p{p}"] - t) <= abs(t) / 2**7
+
+
+def test_buckets_at_powers_of_two_and_signs(spark):
+    values = [0, 1, -1, 255, 256, 2**40 - 1, 2**40, 2**40 + 1, 2**53 - 1, 2**62, -(2**62), None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(value_bucket(F.col("v"), 8)).collect()]
+    for v, b in zip(values, got):
+        if v is None:
+            assert b is None
+            continue
+        drop = max(abs(v).bit_length() - 1 - 8, 0)
+        size = (abs(v) >> drop << drop) + ((1 << drop) >> 1)
+        assert b == (size if v >= 0 else -size)
+
+
+def test_empty_table(spark):
+    assert percentiles(spark.createDataFrame([], "g string, v long"), ["g"], F.col("v"), [50], None).count() == 0
