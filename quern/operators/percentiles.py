@@ -23,10 +23,8 @@ def value_bucket(value: Column, bits: int) -> Column:
     """The middle of the bucket of an integral ``value``: its leading ``bits + 1`` binary digits are kept, sign apart. Null stays null."""
     size = F.abs(F.greatest(value.cast("long"), F.lit(1 - 2**63)))
     right = lambda bits_off: F.call_function("shiftright", size, bits_off)
-    # binary digits by way of a logarithm, put right where rounding took it over a power of two
-    guess = F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int")
-    digits = guess - F.when(right(guess) == 0, 1).otherwise(0) + F.when((guess < 62) & (right(guess + 1) > 0), 1).otherwise(0)
-    drop = F.greatest(digits - bits, F.lit(0))
+    # the length of the binary notation is exact, and names ``size`` once: nested conditions on a logarithm multiply the code
+    drop = F.greatest(F.length(F.bin(size)) - (1 + bits), F.lit(0))
     low = F.call_function("shiftleft", right(drop), drop)
     middle = low + F.call_function("shiftright", F.call_function("shiftleft", F.lit(1).cast("long"), drop), F.lit(1))
     return F.when(value < 0, -middle).when(value.isNotNull(), middle)
