@@ -37,6 +37,15 @@ def value_counts(df: DataFrame, groups: list[str], value: Column, bits: int | No
     return rows.groupBy(*groups, "value").agg(F.count("*").alias("n"))
 
 
+def distinct_events(df: DataFrame, identity: list[str], arrival: str) -> DataFrame:
+    """One row for each event, with the time it first arrived: ``identity`` columns (null is equal to null) and ``arrival``.
+
+    States of files or days add up to those of the whole log if each event counts where it first arrived. Deliveries are reduced on the map side, so an event
+    delivered very often makes no hot group.
+    """
+    return df.groupBy(*identity).agg(F.min(arrival).alias(arrival))
+
+
 def merge_states(states: DataFrame, groups: list[str]) -> DataFrame:
     """Put states of files or days together, possibly dropping a grouping column: counts add up."""
     return states.groupBy(*groups, "value").agg(F.sum("n").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.intervals import interval_gaps, merge_intervals
-from quern.operators.percentiles import merge_states, percentiles, percentiles_of_states, value_counts
+from quern.operators.percentiles import distinct_events, merge_states, percentiles, percentiles_of_states, value_counts
 from quern.operators.regular_grid import regular_grid
 from quern.operators.skew import fragment_replicate_join, keyed_totals, large_keys
 from quern.operators.units import recorded_units
@@ -20,8 +20,9 @@ THREAD = ["run_id", "thread_id"]
 
 
 def _durations(spark: SparkSession, folder: str) -> DataFrame:
-    log = table(spark, folder, "compute_event_log").filter("end_nanos > start_nanos")
-    return log.select("caller_id", "logged_at", (F.col("end_nanos") - F.col("start_nanos")).alias("duration"))
+    """Durations of the well-formed spans. A span that was delivered again counts once, on the day it first arrived, so days still add up."""
+    log = table(spark, folder, "compute_event_log").filter("end_nanos > start_nanos").select("span_id", "caller_id", "logged_at", (F.col("end_nanos") - F.col("start_nanos")).alias("duration"))
+    return distinct_events(log, ["span_id", "caller_id", "duration"], "logged_at")
 
 
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,7 +111,8 @@ def _picked(states: str, keys: str, percents: list[int]) -> str:
         select {keys}, max(total)::bigint as n, {picks} from runs group by {keys}"""
 
 
-_SPANS = "select caller_id, logged_at, end_nanos - start_nanos as d from compute_event_log where end_nanos > start_nanos"
+_SPANS = "select caller_id, min(logged_at) as logged_at, end_nanos - start_nanos as d from compute_event_log where end_nanos > start_nanos group by span_id, caller_id, d"
+_ROWS = "select caller_id, end_nanos - start_nanos as d from compute_event_log where end_nanos > start_nanos"
 _BUCKETS = f"""spans as ({_SPANS}),
         cut as (select *, greatest(length(bin(d)) - 1 - {BITS}, 0) as k from spans),
         mids as (select *, ((d >> k) << k) + ((1::bigint << k) >> 1) as value from cut)"""
@@ -135,7 +137,7 @@ ORACLE = {
     "p2_caller_totals": " union all ".join(
         f"select '{log}' as log_name, caller_id, count(*) as n_rows, coalesce(sum(end_nanos - start_nanos) filter (where end_nanos > start_nanos), 0)::bigint as busy_ns from {log} group by caller_id" for log in LOGS
     ),
-    "p2_slow_spans": f"""with spans as ({_SPANS}), means as (select *, floor(avg(d) over (partition by caller_id))::bigint as mean_ns from spans)
+    "p2_slow_spans": f"""with spans as ({_ROWS}), means as (select *, floor(avg(d) over (partition by caller_id))::bigint as mean_ns from spans)
         select caller_id, mean_ns, count(*) as n_spans, count(*) filter (where d > 2 * mean_ns) as n_slow from means group by caller_id, mean_ns""",
     "p4_found": """with spans as (select run_id, thread_id, start_nanos as s, end_nanos as e from compute_event_log
                                   where run_id is not null and thread_id is not null and end_nanos > start_nanos),

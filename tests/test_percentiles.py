@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators.percentiles import merge_states, percentiles, percentiles_of_states, value_bucket, value_counts
+from quern.operators.percentiles import distinct_events, merge_states, percentiles, percentiles_of_states, value_bucket, value_counts
 
 PERCENTS = [0, 1, 50, 90, 100]
 
@@ -59,3 +59,9 @@ def test_buckets_at_powers_of_two_and_signs(spark):
 
 def test_empty_table(spark):
     assert percentiles(spark.createDataFrame([], "g string, v long"), ["g"], F.col("v"), [50], None).count() == 0
+
+
+def test_events_delivered_again_count_once_on_their_first_day(spark):
+    rows = [(1, "a", 5, 3), (1, "a", 5, 2), (1, "a", 5, 2), (2, None, 5, 1), (2, None, 5, 1), (3, "a", None, 1)]
+    got = distinct_events(spark.createDataFrame(rows, "id int, g string, v int, day int"), ["id", "g", "v"], "day")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "a", 5, 2), (2, None, 5, 1), (3, "a", None, 1)], key=str)
