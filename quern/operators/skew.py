@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.plans.materialize import materialize
 from quern.plans.slices import null_safe_join
 
 TASK, SHARD = "_task", "_shard"
@@ -40,7 +41,7 @@ class LoadPlan:
 def plan_loads(df: DataFrame, keys: list[str], tasks: int, split: int = 4) -> LoadPlan:
     """Count the rows of every key and plan ``tasks`` tasks. A key is split if it holds more than a ``tasks * split``-th of all rows."""
     loads = df.groupBy(*keys).agg(F.count("*").alias("_load"))
-    loads = loads.withColumn("_bin", F.pmod(F.xxhash64(*keys), F.lit(BINS)).cast("int"))
+    loads = materialize(loads.withColumn("_bin", F.pmod(F.xxhash64(*keys), F.lit(BINS)).cast("int")), "key-loads")  # read three times
     total = loads.agg(F.sum("_load")).first()[0] or 0
     share = max(1, -(-total // (tasks * split)))
     hot = loads.filter(F.col("_load") > share).collect()  # fewer than tasks * split
