@@ -32,6 +32,8 @@ class LoadPlan:
     bins: list[int]
     #: the rows planned for each task
     loads: list[int]
+    #: all rows
+    total: int
 
     def bin_task(self) -> Column:
         number = F.pmod(F.xxhash64(*self.keys), F.lit(BINS)).cast("int")
@@ -61,7 +63,7 @@ def plan_loads(df: DataFrame, keys: list[str], tasks: int, split: int = 4) -> Lo
             shards_of[i].append(t)
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("_tasks", T.ArrayType(T.IntegerType()))])
     table = df.sparkSession.createDataFrame([(*(r[k] for k in keys), ts) for r, ts in zip(hot, shards_of)], schema)
-    return LoadPlan(keys, tasks, table, len(hot), bins, [n for n, _ in sorted(heap, key=lambda x: x[1])])
+    return LoadPlan(keys, tasks, table, len(hot), bins, [n for n, _ in sorted(heap, key=lambda x: x[1])], total)
 
 
 def fragment(df: DataFrame, plan: LoadPlan, move: bool = True) -> DataFrame:
@@ -99,13 +101,12 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: list[str],
     return null_safe_join(a, b, [*keys, TASK], how).drop(TASK)
 
 
-def keyed_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], tasks: int | None = None, split: int = 4) -> DataFrame:
+def keyed_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], tasks: int | None = None, split: int = 4, plan: LoadPlan | None = None) -> DataFrame:
     """Keys, ``n_rows``, the sums (over non-null values, 0 if none), ``n_shards`` and ``n_tasks`` per key, complete for each key, null keys too.
 
     Rows are reduced within the shards of the load plan before anything is shuffled, and the few shard rows of a key are added up last.
     """
-    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plan = plan_loads(df, keys, tasks, split)
+    plan = plan or plan_loads(df, keys, tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), split)
     rows = fragment(df.select(*keys, *(c.alias(n) for n, c in sums.items())), plan, move=False)
     shards = rows.groupBy(*keys, TASK, SHARD).agg(F.count("*").alias("n_rows"), *(F.sum(n).alias(n) for n in sums))
     return shards.groupBy(*keys).agg(
@@ -115,9 +116,8 @@ def keyed_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], tasks:
 
 def large_keys(df: DataFrame, keys: list[str], share: float, tasks: int | None = None) -> DataFrame:
     """The non-null keys that hold at least ``share`` of all rows of ``df``, null keys counted among all: keys, ``n_rows``, ``n_all``."""
-    totals = keyed_totals(df, keys, {}, tasks)
-    all_rows = totals.agg(F.sum("n_rows").alias("n_all"))
-    found = totals.select(*keys, "n_rows").crossJoin(F.broadcast(all_rows))  # one row
+    plan = plan_loads(df, keys, tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = keyed_totals(df, keys, {}, plan=plan).select(*keys, "n_rows", F.lit(plan.total).cast("long").alias("n_all"))
     for k in keys:
         found = found.filter(F.col(k).isNotNull())
     return found.filter(F.col("n_rows") >= F.col("n_all") * F.lit(share))
