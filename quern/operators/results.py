@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.labels import conf_bytes, finite_max
+from quern.plans.ranks import ranked
 
 
 def ordered_unique(df: DataFrame, value: str, position: str) -> DataFrame:
-    """``value``, ``first_position`` and ``place`` (from 0): distinct values by first appearance. Nulls are no value. Values are labels, so few."""
+    """``value``, ``first_position`` and ``place`` (from 0): distinct values by first appearance. Nulls are no value."""
     first = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(position).alias("first_position"))
-    return first.withColumn("place", F.row_number().over(Window.orderBy("first_position", value)) - 1)
+    return ranked(first, ["first_position", value]).withColumnRenamed("_rank", "place")
 
 
 def conf_order(df: DataFrame, conf: str, position: str) -> DataFrame:
     """``conf``, ``bytes``, ``place``: distinct settings by size, those that can't be read last, ties and these in order of first appearance."""
     first = df.filter(F.col(conf).isNotNull()).groupBy(conf).agg(F.min(position).alias("first_position")).withColumn("bytes", conf_bytes(F.col(conf)))
-    order = Window.orderBy(F.col("bytes").isNull(), "bytes", "first_position", conf)
-    return first.withColumn("place", F.row_number().over(order) - 1).select(conf, "bytes", "place")
+    order = [F.col("bytes").isNull(), F.col("bytes"), F.col("first_position"), F.col(conf)]
+    return ranked(first, order).select(conf, "bytes", F.col("_rank").alias("place"))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.plans.ranks import ranked
 from quern.plans.slices import SLICE, null_safe_join, slice_hot_groups
 
 THREAD = ["run_id", "thread_id"]
@@ -109,19 +110,7 @@ def caller_index(spans: DataFrame, colours: int = 20) -> DataFrame:
     Ranks come from a range sort: callers are range-partitioned by name, and each partition's ranks start after the callers before it.
     """
     names = spans.select("caller_id").filter("caller_id is not null").distinct()
-    return ranked(names, "caller_id").select("caller_id", F.col("_rank").alias("idx"), (F.col("_rank") % colours).alias("colour"))
-
-
-def ranked(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with ``_rank``, the 0-based place in order of the unique column ``order``, without gathering all rows in one task."""
-    from quern.plans.materialize import materialize
-
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = materialize(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranked")
-    sizes = cut.groupBy("_part").agg(F.count("*").alias("_size"))
-    offset = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_offset"))  # a row a partition
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    return cut.withColumn("_local", local).join(F.broadcast(offset), "_part").withColumn("_rank", F.col("_local") + F.col("_offset")).drop("_part", "_local", "_offset")
+    return ranked(names, ["caller_id"]).select("caller_id", F.col("_rank").alias("idx"), (F.col("_rank") % colours).alias("colour"))
 
 
 def cache_series(samples: DataFrame, settings: DataFrame | None = None) -> DataFrame:
