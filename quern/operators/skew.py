@@ -8,6 +8,7 @@ shards of their key. The plan is small whatever the data: fewer than ``tasks * s
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -120,4 +121,5 @@ def large_keys(df: DataFrame, keys: list[str], share: float, tasks: int | None =
     found = keyed_totals(df, keys, {}, plan=plan).select(*keys, "n_rows", F.lit(plan.total).cast("long").alias("n_all"))
     for k in keys:
         found = found.filter(F.col(k).isNotNull())
-    return found.filter(F.col("n_rows") >= F.col("n_all") * F.lit(share))
+    # a product such as 0.05 * n may be a hair above the whole number it stands for
+    return found.filter(F.col("n_rows") >= F.lit(math.ceil(plan.total * share - 1e-6)))
