@@ -56,9 +56,13 @@ def slice_hot_groups(df: DataFrame, keys: list[str], order: str, max_rows: int =
     even a group of copies is cut; what is computed over the slices must then not depend on the order of ties. Without ``spread_ties`` they stay together.
     """
     counts = df.groupBy(*keys).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    limit = max(max_rows, -(-total // MAX_HOT))
-    hot = counts.filter(F.col("count") > limit).collect()  # fewer than MAX_HOT rows, as each holds more than a MAX_HOT-th of all
+    limit = max_rows
+    hot = counts.filter(F.col("count") > limit).limit(MAX_HOT + 1).collect()
+    if len(hot) > MAX_HOT:
+        # raise the limit to a share of all rows of which fewer groups can hold more
+        total = counts.agg(F.sum("count")).first()[0]
+        limit = max(limit, -(-total // MAX_HOT))
+        hot = counts.filter(F.col("count") > limit).collect()
     if not hot:
         return Sliced(df.withColumns({SLICE: F.lit(0), "_cut": F.lit(False)}), keys, False)
     spark = df.sparkSession
