@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.plans.slices import SLICE, null_safe_join, slice_hot_groups
+from quern.plans.slices import CUT, SLICE, null_safe_join, slice_hot_groups
 
 
 def usable_spans(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
@@ -51,12 +51,12 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start_nanos",
         rows.withColumn("_opens", opens)
         .withColumn("_island", F.sum("_opens").over(upto))
         .groupBy(*keys, SLICE, "_island")
-        .agg(F.min("_start").alias("period_start"), F.max("_end").alias("period_end"), F.count("*").alias("n_spans"), F.first("_cut").alias("_cut"))
+        .agg(F.min("_start").alias("period_start"), F.max("_end").alias("period_end"), F.count("*").alias("n_spans"), F.first(CUT).alias(CUT))
     )
     if not hot:
         return pieces.select(*keys, "period_start", "period_end", "n_spans")
     # the first piece of a slice may continue the last period of a slice before it
-    last = pieces.filter("_cut").groupBy(*keys, SLICE).agg(F.max(F.when(F.col("_island") > 0, F.col("period_start"))).alias("_last"))
+    last = pieces.filter(F.col(CUT)).groupBy(*keys, SLICE).agg(F.max(F.when(F.col("_island") > 0, F.col("period_start"))).alias("_last"))
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     last = last.select(*keys, SLICE, F.max("_last").over(before).alias("_begun"))
     whole = null_safe_join(pieces, F.broadcast(last), [*keys, SLICE])

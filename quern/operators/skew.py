@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from quern.plans.materialize import materialize
 from quern.plans.slices import null_safe_join
 
-TASK, SHARD = "_task", "_shard"
+#: Columns added to rows; names that no table is likely to have.
+TASK, SHARD, TASKS = "__quern_task", "__quern_shard", "__quern_tasks"
 BINS = 4096
 
 
@@ -26,7 +27,7 @@ BINS = 4096
 class LoadPlan:
     keys: list[str]
     tasks: int
-    #: keys, ``_tasks`` (the task of each shard, by its number) of the keys that are split
+    #: keys and the list of tasks (the task of each shard, by its number) of the keys that are split
     hot: DataFrame
     n_hot: int
     #: the task of each bin of the other keys
@@ -62,39 +63,41 @@ def plan_loads(df: DataFrame, keys: list[str], tasks: int, split: int = 4) -> Lo
             bins[i] = t
         else:
             shards_of[i].append(t)
-    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("_tasks", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField(TASKS, T.ArrayType(T.IntegerType()))])
     table = df.sparkSession.createDataFrame([(*(r[k] for k in keys), ts) for r, ts in zip(hot, shards_of)], schema)
     return LoadPlan(keys, tasks, table, len(hot), bins, [n for n, _ in sorted(heap, key=lambda x: x[1])], total)
 
 
 def fragment(df: DataFrame, plan: LoadPlan, move: bool = True) -> DataFrame:
-    """``df`` with ``_task`` and ``_shard``; rows of a split key are dealt to its shards in turn. ``move`` brings each row to its task's partition."""
+    """``df`` with its task and shard; rows of a split key are dealt to its shards in turn. ``move`` brings each row to its task's partition."""
     rows = null_safe_join(df, F.broadcast(plan.hot), plan.keys)
-    deal = F.pmod(F.monotonically_increasing_id(), F.size("_tasks")).cast("int")
-    rows = rows.withColumn(SHARD, F.when(F.col("_tasks").isNull(), 0).otherwise(deal))
-    rows = rows.withColumn(TASK, F.when(F.col("_tasks").isNull(), plan.bin_task()).otherwise(F.element_at("_tasks", F.col(SHARD) + 1))).drop("_tasks")
+    deal = F.pmod(F.monotonically_increasing_id(), F.size(TASKS)).cast("int")
+    rows = rows.withColumn(SHARD, F.when(F.col(TASKS).isNull(), 0).otherwise(deal))
+    rows = rows.withColumn(TASK, F.when(F.col(TASKS).isNull(), plan.bin_task()).otherwise(F.element_at(TASKS, F.col(SHARD) + 1))).drop(TASKS)
     return rows.repartitionById(plan.tasks, F.col(TASK)) if move else rows
 
 
 def replicate(df: DataFrame, plan: LoadPlan, move: bool = True) -> DataFrame:
     """The matching side: a row of a split key is copied to each task that holds shards of the key, any other row goes to its bin's task."""
     rows = null_safe_join(df, F.broadcast(plan.hot), plan.keys)
-    where = F.coalesce(F.array_distinct("_tasks"), F.array(plan.bin_task()))
-    rows = rows.withColumn(TASK, F.explode(where)).drop("_tasks")
+    where = F.coalesce(F.array_distinct(TASKS), F.array(plan.bin_task()))
+    rows = rows.withColumn(TASK, F.explode(where)).drop(TASKS)
     return rows.repartitionById(plan.tasks, F.col(TASK)) if move else rows
 
 
 def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: list[str], tasks: int | None = None, how: str = "left", split: int = 4) -> DataFrame:
     """``left`` joined with ``right`` on ``keys`` (null meets null), complete, with the rows of hot keys of ``left`` spread over tasks.
 
-    ``how`` is ``left`` or ``inner``. Columns of ``right`` must not clash with those of ``left``. Rows keep their number: a left row comes out once for each
+    ``how`` is ``left`` or ``inner``. A column of ``right`` that ``left`` has too comes out as ``<name>_right``. Rows keep their number: a left row comes out once for each
     match (once at all in a left join without match). Empty tables on either side are no special case.
     """
     if how not in ("left", "inner"):
         raise ValueError("rows of the replicated side that match nothing would come out once for each copy")
-    clash = set(left.columns) & set(right.columns) - set(keys)
-    if clash:
-        raise ValueError(f"columns of both sides: {sorted(clash)}")
+    for c in [c for c in right.columns if c not in keys and c in left.columns]:
+        free = f"{c}_right"
+        while free in left.columns or free in right.columns:
+            free += "_"
+        right = right.withColumnRenamed(c, free)
     tasks = tasks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plan = plan_loads(left, keys, tasks, split)
     a = fragment(left, plan, move=False).drop(SHARD)
@@ -105,7 +108,8 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: list[str],
 def keyed_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], tasks: int | None = None, split: int = 4, plan: LoadPlan | None = None) -> DataFrame:
     """Keys, ``n_rows``, the sums (over non-null values, 0 if none), ``n_shards`` and ``n_tasks`` per key, complete for each key, null keys too.
 
-    Rows are reduced within the shards of the load plan before anything is shuffled, and the few shard rows of a key are added up last.
+    Rows are reduced within the shards of the load plan before anything is shuffled, and the few shard rows of a key are added up last. Repeated rows count as
+    they stand, keys are compared as they stand (empty is not null), an empty table gives no rows, and other columns are ignored.
     """
     plan = plan or plan_loads(df, keys, tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), split)
     rows = fragment(df.select(*keys, *(c.alias(n) for n, c in sums.items())), plan, move=False)

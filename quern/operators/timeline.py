@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.plans.ranks import ranked
-from quern.plans.slices import SLICE, null_safe_join, slice_hot_groups
+from quern.plans.slices import CUT, SLICE, null_safe_join, slice_hot_groups
 
 THREAD = ["run_id", "thread_id"]
 IDLE = "__idle__"
@@ -72,12 +72,12 @@ def merge_segments(parts: DataFrame, keys: list[str] = THREAD, max_rows: int = 2
     opens = ~(F.col("_prev.label").eqNullSafe(F.col("label")) & (F.col("_prev.start_ns") + F.col("_prev.duration_ns") == F.col("start_ns"))) | F.col("_prev").isNull()
     rows = rows.withColumn("_opens", F.coalesce(opens, F.lit(True)).cast("int")).withColumn("_island", F.sum("_opens").over(window.rowsBetween(Window.unboundedPreceding, 0)))
     # segments of one start that don't merge make islands of one start: the number within it tells them apart
-    pieces = rows.groupBy(*keys, SLICE, "_island").agg(F.min("start_ns").alias("start_ns"), F.sum("duration_ns").alias("duration_ns"), F.first("label").alias("label"), F.count("*").alias("n_segments"), F.first("_cut").alias("_cut"))
+    pieces = rows.groupBy(*keys, SLICE, "_island").agg(F.min("start_ns").alias("start_ns"), F.sum("duration_ns").alias("duration_ns"), F.first("label").alias("label"), F.count("*").alias("n_segments"), F.first(CUT).alias(CUT))
     columns = [*keys, "label", "start_ns", "duration_ns", "n_segments"]
     if not sliced.hot:
         return pieces.select(*columns)
     # the first piece of a slice may continue the last island of a slice before it
-    ends = pieces.filter("_cut").groupBy(*keys, SLICE).agg(F.max(F.when(F.col("_island") > 0, F.struct(F.lit(0).alias("x"), F.col(SLICE).alias("s"), F.col("_island").alias("n")))).alias("_end"))
+    ends = pieces.filter(F.col(CUT)).groupBy(*keys, SLICE).agg(F.max(F.when(F.col("_island") > 0, F.struct(F.lit(0).alias("x"), F.col(SLICE).alias("s"), F.col("_island").alias("n")))).alias("_end"))
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*keys, SLICE, F.last("_end", ignorenulls=True).over(before).alias("_begun"))
     whole = null_safe_join(pieces, F.broadcast(ends), [*keys, SLICE])

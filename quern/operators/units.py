@@ -187,7 +187,8 @@ def recorded_units(spark: SparkSession, results: DataFrame, scheduling: DataFram
 
     A cell's own spelling goes before the remark, that before a note after the setup's name or the first line of the record's file, that before the source's description, that before the
     heading. NaN, null and cells without a time give no row; cells with a spelling that means nothing give none either. Null and empty texts state nothing.
-    Records imported twice have ids of their own and stand twice. Other columns of the tables are ignored.
+    Records imported twice have ids of their own and stand twice. Texts are read whole; of two units in one
+    text the first counts. Empty tables give no rows. Other columns of the tables are ignored, whatever their names.
     """
     empty = F.lit(None).cast("string")
     setup_note = F.nullif(F.regexp_extract("setup", r"\s+(\S.*)$", 1), F.lit(""))  # a setup's name has no blanks; what follows one is a note

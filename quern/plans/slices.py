@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_HOT = 10_000
-SLICE = "_slice"
+#: Columns added to rows; names that no table is likely to have.
+SLICE, CUT = "__quern_slice", "__quern_cut"
 
 
 class Sliced:
-    """``df`` with the column ``_slice``; ``hot`` says whether any group was cut."""
+    """``df`` with the column its slice; ``hot`` says whether any group was cut."""
 
     def __init__(self, df: DataFrame, keys: list[str], hot: bool):
         self.df, self.keys, self.hot = df, keys, hot
@@ -26,7 +27,7 @@ class Sliced:
         if not self.hot:
             return self.df.withColumns({n: F.lit(None) for n in aggregates})
         kinds = {"sum": F.sum, "max": F.max}
-        own = self.df.filter(F.col("_cut")).groupBy(*self.keys, SLICE).agg(*(kinds[k](c).alias(n) for n, (c, k) in aggregates.items()))
+        own = self.df.filter(F.col(CUT)).groupBy(*self.keys, SLICE).agg(*(kinds[k](c).alias(n) for n, (c, k) in aggregates.items()))
         before = Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
         own = own.select(*self.keys, SLICE, *(kinds[k](n).over(before).alias(n) for n, (_, k) in aggregates.items()))
         return null_safe_join(self.df, F.broadcast(own), [*self.keys, SLICE])
@@ -36,7 +37,7 @@ class Sliced:
         """As ``carry``, with the ``min`` over all later slices of the group (null in the last)."""
         if not self.hot:
             return self.df.withColumns({n: F.lit(None).cast(self.df.select(c).schema[0].dataType) for n, (c, _) in aggregates.items()})
-        own = self.df.filter("_cut").groupBy(*self.keys, SLICE).agg(*(F.min(c).alias(n) for n, (c, _) in aggregates.items()))
+        own = self.df.filter(F.col(CUT)).groupBy(*self.keys, SLICE).agg(*(F.min(c).alias(n) for n, (c, _) in aggregates.items()))
         after = Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)
         own = own.select(*self.keys, SLICE, *(F.min(n).over(after).alias(n) for n in aggregates))
         return null_safe_join(self.df, F.broadcast(own), [*self.keys, SLICE])
@@ -64,7 +65,7 @@ def slice_hot_groups(df: DataFrame, keys: list[str], order: str, max_rows: int =
         limit = max(limit, -(-total // MAX_HOT))
         hot = counts.filter(F.col("count") > limit).collect()
     if not hot:
-        return Sliced(df.withColumns({SLICE: F.lit(0), "_cut": F.lit(False)}), keys, False)
+        return Sliced(df.withColumns({SLICE: F.lit(0), CUT: F.lit(False)}), keys, False)
     spark = df.sparkSession
     types = [df.schema[k] for k in keys]
     cuts = spark.createDataFrame([(*(r[k] for k in keys), -(-r["count"] // limit)) for r in hot], T.StructType([*types, T.StructField("_parts", T.LongType())]))
@@ -78,12 +79,12 @@ def slice_hot_groups(df: DataFrame, keys: list[str], order: str, max_rows: int =
     step = F.size("_fine") + 1
     bounds = bounds.select(
         *keys,
-        F.transform(F.sequence(F.lit(1), (F.col("_parts") - 1).cast("int")), lambda i: F.element_at("_fine", F.greatest(F.lit(1), F.floor(i * step / F.col("_parts")).cast("int")))).alias("_bounds"),
+        F.transform(F.sequence(F.lit(1), (F.col("_parts") - 1).cast("int")), lambda i: F.element_at("_fine", F.greatest(F.lit(1), F.floor(i * step / F.col("_parts")).cast("int")))).alias("__quern_bounds"),
     )
-    bounds = spark.createDataFrame(bounds.collect(), T.StructType([*types, T.StructField("_bounds", T.ArrayType(T.LongType()))]))
+    bounds = spark.createDataFrame(bounds.collect(), T.StructType([*types, T.StructField("__quern_bounds", T.ArrayType(T.LongType()))]))
     df = null_safe_join(df, F.broadcast(bounds), keys)
-    below = F.size(F.filter("_bounds", lambda b: b < F.col(order)))
-    ties = F.size(F.filter("_bounds", lambda b: b == F.col(order)))
+    below = F.size(F.filter("__quern_bounds", lambda b: b < F.col(order)))
+    ties = F.size(F.filter("__quern_bounds", lambda b: b == F.col(order)))
     spread = F.when(ties > 0, F.pmod(F.xxhash64(F.monotonically_increasing_id()), ties + 1)).otherwise(0) if spread_ties else F.lit(0)
-    number = F.when(F.col("_bounds").isNull() | F.col(order).isNull(), 0).otherwise(below + spread).cast("int")
-    return Sliced(df.withColumns({SLICE: number, "_cut": F.col("_bounds").isNotNull()}).drop("_bounds"), keys, True)
+    number = F.when(F.col("__quern_bounds").isNull() | F.col(order).isNull(), 0).otherwise(below + spread).cast("int")
+    return Sliced(df.withColumns({SLICE: number, CUT: F.col("__quern_bounds").isNotNull()}).drop("__quern_bounds"), keys, True)

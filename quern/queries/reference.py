@@ -16,6 +16,7 @@ from quern.operators.tiles import from_tiles, tile_matmul, to_tiles
 from quern.plans.materialize import shared_folder
 from quern.queries.reference_sql import ORACLE  # noqa: F401 - part of this module
 from quern.sources import logs
+from quern.sources.matrices import read_matrix, write_matrix
 from quern.sources.tables import table
 
 M = 64
@@ -411,11 +412,27 @@ def results_load(spark: SparkSession, folder: str) -> DataFrame:
     return loaded.groupBy("mode", "conf").agg(F.count("*").alias("n"), F.sum(F.isnan("rep1").cast("int")).alias("n_failed"), F.round(F.sum(F.when(~F.isnan("rep2"), F.col("rep2"))), 3).alias("rep2"))
 
 
+def matrix_files(spark: SparkSession, folder: str) -> DataFrame:
+    """E written with its shape and read again: the sum of each row."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex}"
+    write_matrix(_cells(spark, folder), path)
+    m = read_matrix(spark, path)
+    return m.df.groupBy("i").agg(F.count("*").alias("n_cells"), _round(F.sum("v"), 6).alias("total")).withColumn("n_rows", F.lit(m.nrow).cast("long"))
+
+
+def sched_load(spark: SparkSession, folder: str) -> DataFrame:
+    whole = table(spark, folder, "scheduling_results").filter("runtime_s is not null and not isnan(runtime_s) and setup is not null and exec_mode is not null")
+    path = _csv(whole.select(F.col("setup").alias("Setup"), F.col("exec_mode").alias("ExecMode"), F.col("runtime_s").alias("Runtime [s]")), "scheduling")
+    return logs.read_scheduling(spark, path).groupBy("setup", "exec_mode").agg(F.count("*").alias("n"), F.round(F.sum("runtime_s"), 3).alias("total_s"))
+
+
 QUERIES = [
     ceil_mean, transpose_add_ceil_mean, transpose_add, sin_mul_chain, right_index, contains_zero, matrix_aggregates, matvec_means, gram_matrix, tile_gram, xty, matmul, onehot, onehot_counts,
     cell_chain, cell_join, div_ieee, floor_vals, indicator, clamp_ifelse, abs_chain, sqrt_chain, seq_vec, rand_sparse, rand_uniform, rand_normal, blobs,
     lloyd_assign, lloyd_3, kmeans, pca_total_variance, pca, lm_cg,
     bounds, thread_count, caller_totals, idle_gaps, islands, segment_totals, rel_time, caller_index, ordered_unique, cache_series, limits,
     conf_bytes, conf_order, xmx_mb, dim_format, setup_label, exp_title, last_metric, run_status, result_pivot, mode_pivot, sched_pivot, result_axis,
-    spans_load, cache_load, results_load,
+    spans_load, cache_load, results_load, sched_load, matrix_files,
 ]

@@ -144,4 +144,7 @@ ORACLE = {
     "results_load": """select mode, conf, count(*) as n, count(*) filter (where rep1 is null or isnan(rep1)) as n_failed, round(sum(rep2) filter (where not isnan(rep2)), 3) as rep2 from results
         where mode is not null and conf is not null group by all""",
 }
+ORACLE["matrix_files"] = f"with {_E} select i, count(*) as n_cells, round(sum(v), 6) + 0.0::double as total, (select count(*) from embeddings) as n_rows from E group by i"
+ORACLE["sched_load"] = """select setup, exec_mode, count(*) as n, round(sum(runtime_s), 3) as total_s from scheduling_results
+    where runtime_s is not null and not isnan(runtime_s) and setup is not null and exec_mode is not null group by all"""
 ORACLE["tile_gram"] = ORACLE["gram_matrix"]

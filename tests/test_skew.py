@@ -56,3 +56,10 @@ def test_large_keys_and_empty_tables(spark):
     other = spark.createDataFrame([("a", 1)], "k string, w long")
     assert fragment_replicate_join(empty, other, ["k"]).count() == 0
     assert fragment_replicate_join(other, spark.createDataFrame([], "k string, z long"), ["k"]).collect()[0]["z"] is None
+
+
+def test_clashing_columns_are_renamed(spark):
+    a = spark.createDataFrame([("x", 1, 7)], "k string, v long, _task int")
+    b = spark.createDataFrame([("x", 2, 8)], "k string, v long, _task int")
+    got = fragment_replicate_join(a, b, ["k"]).collect()[0].asDict()
+    assert got == {"k": "x", "v": 1, "_task": 7, "v_right": 2, "_task_right": 8}

@@ -46,7 +46,7 @@ def test_too_many_hot_groups_raise_the_limit(spark, rows, monkeypatch):
     monkeypatch.setattr(slices, "MAX_HOT", 2)
     df = spark.createDataFrame(rows, "k string, t long")
     got = slice_hot_groups(df, ["k"], "t", 10)
-    hot = got.df.filter("_cut").select("k").distinct().collect()
+    hot = got.df.filter(slices.CUT).select("k").distinct().collect()
     assert [r["k"] for r in hot] == ["hot"]
 
 
