@@ -109,7 +109,7 @@ def keyed_totals(df: DataFrame, keys: list[str], sums: dict[str, Column], tasks:
     """Keys, ``n_rows``, the sums (over non-null values, 0 if none), ``n_shards`` and ``n_tasks`` per key, complete for each key, null keys too.
 
     Rows are reduced within the shards of the load plan before anything is shuffled, and the few shard rows of a key are added up last. Repeated rows count as
-    they stand, keys are compared as they stand (empty is not null), an empty table gives no rows, and other columns are ignored.
+    they stand, keys are compared as they stand (empty is not null), an empty table gives no rows, and other columns are ignored. Where a sum could leave 64 bits, pass a decimal column.
     """
     plan = plan or plan_loads(df, keys, tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), split)
     rows = fragment(df.select(*keys, *(c.alias(n) for n, c in sums.items())), plan, move=False)

@@ -60,7 +60,7 @@ ORACLE = {
     "matmul": f"with {_CENTRES} select i, k as j, round(sum(E.v * c0.v), 6) + 0.0::double as v from E join c0 using (j) group by i, k",
     "onehot": "select vec_id + 1 as i, (label + 1)::bigint as j, 1.0::double as v from embeddings",
     "onehot_counts": "select label, count(*) as n from embeddings group by label",
-    "cell_chain": f"with s0 as (select o_orderkey, o_totalprice / 1e5 as x, (o_custkey % 89 + 1) / 90 as y from orders), {_CHAIN} select o_orderkey, round(x, 6) as x from s5",
+    "cell_chain": f"with s0 as (select o_orderkey, o_totalprice / 1e5 as x, (o_custkey % 89 + 1) / 90 as y from orders), {_CHAIN} select o_orderkey, floor(x * 1e4 + 0.123)::bigint as x_e4 from s5",
     "cell_join": """with a as (select o_orderkey + 1 as i, o_totalprice / 1e5 as x from orders), b as (select l_orderkey + 1 as i, sum(l_quantity) as y from lineitem
             where l_orderkey <= (select max(o_orderkey) from orders) group by all),
         m as (select i, coalesce(x, 0) as x, coalesce(y, 0) as y from a full join b using (i)) select i, round(x * y / x + x - y * x, 9) as v from m""",
@@ -108,7 +108,7 @@ ORACLE = {
     "caller_index": "select caller_id, dense_rank() over (order by caller_id) - 1 as idx, (dense_rank() over (order by caller_id) - 1) % 20 as colour from (select distinct caller_id from compute_event_log where caller_id is not null)",
     "ordered_unique": "select experiment, first_position, row_number() over (order by first_position, experiment) - 1 as place from (select experiment, min(record_id) as first_position from results where experiment is not null group by 1)",
     "cache_series": """with f as (select run_id, min(timestamp_ns) as a from cache_size_event_log where run_id is not null group by 1)
-        select run_id, reading_id, timestamp_ns, round((timestamp_ns - a) / 1e9, 6) as seconds, coalesce(scheduled_eviction_size, 0) as scheduled_eviction_size, coalesce(cache_size, 0) as cache_size,
+        select run_id, reading_id, timestamp_ns, round((timestamp_ns - a) / 1e9, 9) as seconds, coalesce(scheduled_eviction_size, 0) as scheduled_eviction_size, coalesce(cache_size, 0) as cache_size,
                coalesce(pinned_size, 0) as pinned_size, coalesce(read_reserved_size, 0) as read_reserved_size, s.cache_eviction_limit as soft_limit, s.cache_hard_limit as hard_limit
         from cache_size_event_log join f using (run_id) left join run_settings s using (run_id) where timestamp_ns is not null""",
     "limits": """select run_id, case when cache_hard_limit is not null then cache_eviction_limit end as soft, case when cache_eviction_limit is not null then cache_hard_limit end as hard from run_settings""",
@@ -134,10 +134,10 @@ ORACLE = {
         from s join a on s.experiment = a.experiment left join l on l.experiment = s.experiment and l.mode = s.mode and l.conf = a.conf""",
     "mode_pivot": """with t as (select user_id, event_type, round(sum(value), 4) as v from events group by all)
         select user_id, max(v) filter (where event_type = 'click') as v_click, max(v) filter (where event_type = 'view') as v_view, max(v) filter (where event_type = 'purchase') as v_purchase from t group by user_id""",
-    "sched_pivot": """with r as (select setup, lower(trim(exec_mode)) as mode, round(avg(runtime_s), 4) as value from scheduling_results where runtime_s is not null and not isnan(runtime_s) and exec_mode is not null group by all)
+    "sched_pivot": """with r as (select setup, lower(trim(exec_mode)) as mode, max(runtime_s) as value from scheduling_results where runtime_s is not null and not isnan(runtime_s) and exec_mode is not null group by all)
         select mode, setup, value from r where setup in (select setup from r group by setup having count(*) = (select count(distinct mode) from r))""",
     "result_axis": """with t as (select experiment, coalesce(max(rep1) filter (where not isnan(rep1) and not isinf(rep1)), 1.0) as top from results group by 1) select experiment, top, round(top * 1.18, 6) as axis_top from t""",
-    "spans_load": """select thread_id, count(*) as n, sum(start_nanos)::bigint as starts, sum(end_nanos)::bigint as ends from compute_event_log
+    "spans_load": """select thread_id, count(*) as n, min(start_nanos) as first_start, max(end_nanos) as last_end, count(distinct caller_id) as n_callers from compute_event_log
         where thread_id is not null and caller_id is not null and start_nanos is not null and end_nanos is not null group by thread_id""",
     "cache_load": """select timestamp_ns, scheduled_eviction_size, cache_size, coalesce(pinned_size, 0) as pinned_size, coalesce(read_reserved_size, 0) as read_reserved_size from cache_size_event_log
         where timestamp_ns is not null and scheduled_eviction_size is not null and cache_size is not null""",

@@ -45,9 +45,9 @@ def _or_nothing(df: DataFrame | None, spark: SparkSession, path: str, schema: st
 
 
 def read_spans(spark: SparkSession, path: str, allow_empty: bool = False) -> DataFrame:
-    """A span log: ``thread_id, caller_id, start_nanos, end_nanos``. Columns that aren't known are ignored; a number that can't be read is an error at run time."""
+    """A span log: ``thread_id, caller_id, start_nanos, end_nanos``. Columns that aren't known are ignored, an empty caller is an empty text; a number that can't be read is an error at run time."""
     raw = _csv(spark, path, list(SPAN_COLUMNS))
-    df = None if raw is None else raw.select(F.col("ThreadID").cast("int").alias("thread_id"), F.col("CallerID").alias("caller_id"), F.col("StartNanos").cast("long").alias("start_nanos"), F.col("EndNanos").cast("long").alias("end_nanos"))
+    df = None if raw is None else raw.select(F.col("ThreadID").cast("int").alias("thread_id"), F.coalesce("CallerID", F.lit("")).alias("caller_id"), F.col("StartNanos").cast("long").alias("start_nanos"), F.col("EndNanos").cast("long").alias("end_nanos"))
     return _or_nothing(df, spark, path, "thread_id int, caller_id string, start_nanos long, end_nanos long", allow_empty)
 
 
