@@ -1,9 +1,11 @@
 """Mixing sources to target weights by entropy balancing.
 
-Each document gets a rate ``exp(a_s + b_s * n / mean_s)`` by its source ``s`` and its tokens ``n``: the rates nearest to one (in relative entropy) under which every source
-has its share of the tokens and keeps its mean document length. The dual of that problem is convex; Newton's steps need six sums per source, which each
-iteration gathers over all documents (reduced to counts per source and length beforehand). Rates are then rounded into copies: the whole part goes to every
-document, and the rest to the documents that come first in a hashed order, up to the token that fills the share.
+Each document gets a rate ``min(cap_s, exp(b_s * n / mean_s))`` by its source ``s`` and its tokens ``n``: of all rates up to the cap under which every source has
+its share of the tokens, the nearest to one in relative entropy. A source that is thinned out thus keeps more of its short documents, and one that is
+repeated repeats its long ones more. The dual has one number per source; Newton's steps need two sums per source, which each iteration gathers over all documents
+(reduced to counts per source and length beforehand). Rates are then rounded into copies: the whole part goes to every document, and one more to the documents
+that come first by a hashed number over the rest of their rate (so that rest is how likely they get it), up to the token that
+fills the share; one document is picked by its length, to fill what is left.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from quern.llm.tokens import DEFAULT_TOKENIZER, count_tokens
 from quern.plans.materialize import materialize
 
 BUCKETS = 65_536
-MAX_STEPS, TOLERANCE = 40, 1e-10
+MAX_STEPS, TOLERANCE = 100, 1e-10
 
 
 def source_name(source: Column) -> Column:
@@ -74,31 +76,53 @@ def planned_tokens(sizes: dict[str, int], targets: dict[str, Target], total: int
     return plan
 
 
-def balance(lengths: DataFrame, plan: dict[str, float], caps: dict[str, int | None]) -> dict[str, tuple[float, float, float]]:
-    """Newton's iterations on the dual: ``a``, ``b`` and the mean length for each source. ``lengths``: source, n_tokens, n_docs."""
+def tilted_rate(slope: Column, length: Column, cap: Column) -> Column:
+    """A document's rate; ``length`` in mean lengths, a null ``cap`` is no bound. No solution has exponents near 50."""
+    return F.least(F.exp(F.least(slope * length, F.lit(50.0))), F.coalesce(cap.cast("double"), F.lit(float("inf"))))
+
+
+def balance(lengths: DataFrame, plan: dict[str, float], caps: dict[str, int | None]) -> dict[str, tuple[float, float]]:
+    """Newton's iterations on the dual: ``b`` and the mean length for each source. ``lengths``: source, n_tokens (over 0), n_docs.
+
+    A source's tokens grow with ``b``, so its root lies between two bounds that each iteration moves; the middle is taken where Newton's step leaves them or gains little.
+    """
     spark = lengths.sparkSession
-    known = lengths.groupBy("source").agg(F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens")).collect()
-    known = {r["source"]: (r["docs"], r["tokens"]) for r in known if r["source"] in plan}
-    state = {s: [np.log(1.0), 0.0] for s in known}
-    mean = {s: t / d for s, (d, t) in known.items()}
-    want = {s: np.array([plan[s] / mean[s], plan[s] / mean[s]]) for s in known}  # documents, and tokens in mean lengths
+    n, docs = F.col("n_tokens").cast("double"), F.col("n_docs")
+    known = lengths.groupBy("source").agg(F.sum(docs).alias("docs"), F.sum(docs * n).alias("tokens"), F.sum(docs * n * n).alias("squares"), F.min(n).alias("least"), F.max(n).alias("most")).collect()
+    known = {r["source"]: r for r in known if r["source"] in plan}
+    mean = {s: r["tokens"] / r["docs"] for s, r in known.items()}
+    low, high, at, last, done = {}, {}, {}, dict.fromkeys(known, float("inf")), {}
+    for s, r in known.items():
+        grow, cap = float(np.log(plan[s] / r["tokens"])), caps.get(s)
+        even = grow * mean[s] * r["tokens"] / r["squares"]  # without a cap, the root isn't above this (Jensen)
+        ends = grow * mean[s] / r["least"], grow * mean[s] / r["most"]
+        full = None if cap is None else float(np.log(cap)) * mean[s] / r["least"]  # all are at the cap
+        low[s], high[s] = min(ends), max(ends) if grow <= 0 or full is None else full
+        if full is not None and plan[s] >= cap * r["tokens"] * (1 - 1e-12):
+            done[s] = full
+        else:
+            at[s] = min(even, high[s])
     for _ in range(MAX_STEPS):
-        table = spark.createDataFrame([(s, float(a), float(b), float(mean[s])) for s, (a, b) in state.items()], "source string, a double, b double, m double")
-        x = F.col("n_tokens") / F.col("m")
-        rate = F.col("n_docs") * F.exp(F.least(F.col("a") + F.col("b") * x, F.lit(50.0)))
-        sums = lengths.join(F.broadcast(table), "source").select("source", rate.alias("w"), x.alias("x")).groupBy("source").agg(F.sum("w").alias("w0"), F.sum(F.col("w") * F.col("x")).alias("w1"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("w2")).collect()
-        worst = 0.0
-        for r in sums:
-            s = r["source"]
-            miss = want[s] - np.array([r["w0"], r["w1"]])
-            worst = max(worst, float(np.max(np.abs(miss) / want[s])))
-            curve = np.array([[r["w0"], r["w1"]], [r["w1"], r["w2"]]])
-            # documents of one length leave one direction free; the ridge then keeps b at rest
-            step = np.linalg.solve(curve + 1e-12 * np.trace(curve) * np.eye(2), miss)
-            state[s] = list(np.array(state[s]) + np.clip(step, -2.0, 2.0))
-        if worst < TOLERANCE:
+        if not at:
             break
-    return {s: (a, b, mean[s]) for s, (a, b) in state.items()}
+        table = spark.createDataFrame([(s, float(b), float(mean[s]), caps.get(s)) for s, b in at.items()], "source string, b double, m double, cap long")
+        x = n / F.col("m")
+        rate = tilted_rate(F.col("b"), x, F.col("cap"))
+        below = F.col("cap").isNull() | (rate < F.col("cap"))
+        sums = lengths.join(F.broadcast(table), "source").groupBy("source").agg(F.sum(docs * x * rate).alias("w1"), F.sum(F.when(below, docs * x * x * rate).otherwise(0.0)).alias("w2")).collect()
+        for r in sums:
+            s, b = r["source"], at[r["source"]]
+            want = plan[s] / mean[s]
+            miss = abs(r["w1"] - want) / want
+            if miss < TOLERANCE:
+                done[s] = at.pop(s)
+                continue
+            low[s], high[s] = (b, high[s]) if r["w1"] < want else (low[s], b)
+            # the logarithm of the tokens is nearly straight in b
+            step = b - np.log(r["w1"] / want) * r["w1"] / r["w2"] if r["w1"] > 0 and r["w2"] > 0 else float("nan")
+            at[s] = float(step) if low[s] < step < high[s] and miss < last[s] / 2 else (low[s] + high[s]) / 2
+            last[s] = miss
+    return {s: (b, mean[s]) for s, b in (done | at).items()}
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, path: str = DEFAULT_TOKENIZER) -> tuple[DataFrame, DataFrame]:
@@ -118,15 +142,18 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     rates = balance(listed.filter("n_tokens > 0"), plan, {s: t.cap for s, t in wanted.items()}) if plan else {}
 
     spark = documents.sparkSession
-    schema = "source string, a double, b double, m double, cap long, plan double"
-    table = spark.createDataFrame([(s, float(a), float(b), float(m), wanted[s].cap, float(plan[s])) for s, (a, b, m) in rates.items()], schema)
-    # a rate that the last digits put over the cap is the cap
-    rate = F.exp(F.col("a") + F.col("b") * F.col("n_tokens") / F.col("m"))
-    rate = F.round(F.least(rate, F.coalesce(F.col("cap").cast("double"), F.lit(float("inf")))), 9)
-    drawn = sized.filter("n_tokens > 0").join(F.broadcast(table), "source")
-    hashed = F.xxhash64("source", "doc_id", "n_tokens")
-    drawn = drawn.withColumns({"_whole": F.floor(rate), "_hash": hashed, "_bucket": F.shiftrightunsigned(hashed, 48), "plan": F.col("plan")})
-    may = F.col("cap").isNull() | (F.col("_whole") < F.col("cap"))
+    schema = "source string, b double, m double, cap long, plan double"
+    table = spark.createDataFrame([(s, float(b), float(m), wanted[s].cap, float(plan[s])) for s, (b, m) in rates.items()], schema)
+    rate = tilted_rate(F.col("b"), F.col("n_tokens") / F.col("m"), F.col("cap"))
+    # a rate that the last digits put off a whole number is that number
+    rate = F.when((F.round(rate) > 0) & (F.abs(rate - F.round(rate)) < 1e-9), F.round(rate)).otherwise(rate)
+    drawn = sized.filter("n_tokens > 0").join(F.broadcast(table), "source").withColumn("_rate", rate)
+    hashed = (F.shiftrightunsigned(F.xxhash64("source", "doc_id", "n_tokens"), 11) + 1) / F.lit(2.0**53)
+    drawn = drawn.withColumn("_whole", F.floor("_rate")).withColumn("_part", F.col("_rate") - F.col("_whole"))
+    # without a part of a copy left the order is null, and no further copy is taken
+    drawn = drawn.withColumn("_order", F.when(F.col("_part") > 0, hashed / F.col("_part")))
+    drawn = drawn.withColumn("_bucket", F.coalesce(F.floor(F.col("_order") / (1 + F.col("_order")) * BUCKETS), F.lit(BUCKETS)))
+    may = F.col("_order").isNotNull()
     # tokens of whole copies, and how far down the hashed order the further copies go: sums per bucket first, then one bucket document by document
     per_bucket = drawn.groupBy("source", "_bucket").agg(F.sum(F.col("n_tokens") * F.col("_whole")).alias("_base"), F.sum(F.when(may, F.col("n_tokens")).otherwise(0)).alias("_more"), F.first("plan").alias("_plan"))
     per_bucket = materialize(per_bucket, "hash-buckets")
@@ -134,14 +161,20 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     per_bucket = per_bucket.select("source", "_bucket", (F.col("_plan") - F.sum("_base").over(Window.partitionBy("source"))).alias("_lack"), F.sum("_more").over(w).alias("_upto"), "_more")
     edge = per_bucket.filter("_upto > _lack").groupBy("source").agg(F.min(F.struct("_bucket", "_lack", (F.col("_upto") - F.col("_more")).alias("_before"))).alias("_edge")).select("source", F.col("_edge._bucket").alias("_edge_bucket"), (F.col("_edge._lack") - F.col("_edge._before")).alias("_left"))
     with_edge = drawn.join(F.broadcast(edge), "source", "left")  # a row for each target source
-    order = Window.partitionBy("source").orderBy("_hash", "doc_id")
+    order = Window.partitionBy("source").orderBy("_order", "doc_id")
     at_edge = with_edge.filter(F.col("_bucket") == F.col("_edge_bucket"))
     upto = F.sum(F.when(may, F.col("n_tokens")).otherwise(0)).over(order)
-    # the document that crosses the mark is taken if that comes nearer to it
-    at_edge = at_edge.withColumn("_extra", F.when(may & (upto - F.col("n_tokens") / 2 <= F.col("_left")), 1).otherwise(0))
+    at_edge = at_edge.withColumn("_fits", may & (upto <= F.col("_left")))
     others = with_edge.filter(F.col("_edge_bucket").isNull() | (F.col("_bucket") != F.col("_edge_bucket")))
-    others = others.withColumn("_extra", F.when(may & (F.col("_edge_bucket").isNull() | (F.col("_bucket") < F.col("_edge_bucket"))), 1).otherwise(0))
-    chosen = others.unionByName(at_edge).withColumn("repeats", (F.col("_whole") + F.col("_extra")).cast("int"))
+    others = others.withColumn("_fits", may & (F.col("_edge_bucket").isNull() | (F.col("_bucket") < F.col("_edge_bucket"))))
+    # what the copies up to the mark leave open goes to the one document further down that comes nearest to it
+    gap = at_edge.groupBy("source").agg((F.max("_left") - F.sum(F.when(F.col("_fits"), F.col("n_tokens")).otherwise(0))).alias("_gap"))
+    both = others.unionByName(at_edge)
+    off = F.abs(F.col("n_tokens") - F.col("_gap"))
+    last = both.filter(may & ~F.col("_fits")).join(F.broadcast(gap), "source").filter(off < F.col("_gap")).groupBy("source").agg(F.min(F.struct(off, "_order", "doc_id")).alias("_last"))
+    both = both.join(F.broadcast(last.select("source", F.col("_last.doc_id").alias("_last_id"))), "source", "left")
+    both = both.withColumn("_extra", F.when(F.col("_fits") | (may & (F.col("doc_id") == F.col("_last_id"))), 1).otherwise(0))
+    chosen = both.withColumn("repeats", (F.col("_whole") + F.col("_extra")).cast("int"))
     chosen = chosen.filter("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
     chosen = materialize(chosen, "mix")
 

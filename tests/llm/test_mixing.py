@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from quern.llm.mixing import Target, mix_sources, planned_tokens
+from quern.llm.mixing import Target, balance, mix_sources, planned_tokens
 
 WORDS = "the block of a run was read from disk and kept in cache".split()
 DOCS = "doc_id long, text string, source string, repeats int, n_tokens string"
@@ -67,3 +68,28 @@ def test_empty_and_equal_lengths(spark):
     same = [(i, "one two three", "a" if i % 2 else "b", 1, "") for i in range(40)]
     _, shares = report(spark, same, [("a", 0.25, 1), ("b", 0.75, 1)])
     assert shares["a"]["actual_share"] == pytest.approx(0.25, abs=0.02)
+
+
+def test_rates_are_tilted_by_tokens(spark):
+    # by source: lengths and documents, cap, plan in parts of the tokens
+    cases = {"thin": ({10: 500, 100: 300, 900: 40}, 1, 0.2), "grown": ({10: 500, 100: 300, 900: 40}, 3, 1.9), "free": ({7: 90, 50: 100, 60: 10}, None, 4.0), "full": ({10: 5, 100: 3}, 3, 3.0), "whole": ({3: 5, 9: 3}, 1, 1.0)}
+    lengths = spark.createDataFrame([(s, n, d) for s, (have, _, _) in cases.items() for n, d in have.items()], "source string, n_tokens int, n_docs long")
+    tokens = {s: sum(n * d for n, d in have.items()) for s, (have, _, _) in cases.items()}
+    plan = {s: part * tokens[s] for s, (_, _, part) in cases.items()}
+    got = balance(lengths, plan, {s: cap for s, (_, cap, _) in cases.items()})
+    for s, (have, cap, _) in cases.items():
+        b, mean = got[s]
+        rate = {n: min(cap or np.inf, np.exp(b * n / mean)) for n in have}
+        assert sum(n * d * rate[n] for n, d in have.items()) == pytest.approx(plan[s], rel=1e-8), s
+    assert got["thin"][0] < 0 < min(got["grown"][0], got["free"][0]) and got["whole"][0] == 0
+
+
+def test_copies_follow_the_tilted_rates(spark):
+    rows = [(i, " ".join(["block"] * (3 if i % 2 else 40)), "a" if i % 20 < 12 else "b", 1, "") for i in range(4000)]
+    chosen, shares = report(spark, rows, [("a", 0.25, 1), ("b", 0.75, 1)])
+    assert shares["a"]["actual_share"] == pytest.approx(0.25, abs=0.0005)
+    lengths = sorted({r["n_tokens"] for r in chosen})
+    part = {n: sum(r["n_tokens"] == n for r in chosen if r["source"] == "a") / 1200 for n in lengths}
+    # each length's part is exp(b n) of one b: long documents are thinned out much more than short ones
+    assert np.log(part[lengths[0]]) == pytest.approx(np.log(part[lengths[1]]) * lengths[0] / lengths[1], abs=0.05)
+    assert part[lengths[0]] > 0.8 > 0.5 > part[lengths[1]]
