@@ -18,6 +18,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ SMOOTH = 2.0
 WIDE_ODDS = math.log(10)
 #: Log odds by single characters under which a single-byte swap isn't tried.
 UNLIKELY = -5.0
-#: Japanese pages are looked for behind the first so many of the pages.
-JAPANESE_READ_AS = 7
+#: How many letters a Japanese class of the bigram model stands for. Letters of a class are all one symbol there, which makes them too likely beside other scripts.
+CLASS_SIZES = {"あ": 83, "ア": 86, "漢": 3000, "、": 60, "！": 90}
 LOST = "�"
 KNOWN_RUNS = 200_000
 
@@ -87,6 +88,8 @@ class Pages:
         for w, r in self.single:
             table = {ord(c): self.letters[r][b] for c, b in self.own_byte[w].items()}
             self.tables.append(table)
+        #: what the bytes before most kana of cp932 are read as
+        self.leads = {row[b] for row in self.letters for b in (0x81, 0x82, 0x83)}
         #: for each character the pages that have it, and the swaps that change it into a printable character, as bits
         self.pages_with: Counter[str] = Counter()
         self.swaps_of: dict[str, int] = {}
@@ -105,6 +108,19 @@ class Pages:
         k -= len(self.single)
         return f"{WIDE[k // len(PAGES)]} as {PAGES[k % len(PAGES)]}"
 
+    def mixed(self, run: str) -> bool:
+        """Whether a run with ASCII characters inside may be cp932 that was read as one of the pages."""
+        if sum(c in self.leads for c in run) * 5 < len(run):
+            return False
+        for w in range(len(PAGES)):
+            raw = self.encode(run, w)
+            try:
+                if raw is not None and kana(raw.decode("cp932")):
+                    return True
+            except UnicodeDecodeError:
+                continue
+        return False
+
     def encode(self, run: str, w: int) -> bytes | None:
         byte = self.byte[w]
         try:
@@ -162,14 +178,14 @@ class Pages:
                 text = self.peel(run + "\xa0", w, partly)
                 if text is not None:
                     out.append((base + w, text))
-            if len(run) > 3 and w < JAPANESE_READ_AS:
+            if len(run) > 3:
                 raw = self.encode(run, w)
                 for j in (1, 2):
                     try:
                         text = raw.decode(WIDE[j])
                     except UnicodeDecodeError:
                         continue
-                    if sum("\u3040" <= c < "\u30ff" for c in text) * 5 >= len(text):
+                    if kana(text):
                         out.append((base + j * n + w, text))
         if partly and not out and len(run) > 1:
             for w in range(n):
@@ -179,6 +195,16 @@ class Pages:
         return out
 
 
+def kana(text: str) -> bool:
+    """Whether ``text`` has as many kana as Japanese has at least."""
+    return sum("\u3040" <= c < "\u30ff" for c in text) * 5 >= len(text)
+
+
+@cache
+def shared_pages() -> Pages:
+    return Pages()
+
+
 def symbol(c: str) -> str:
     """The letter of the bigram model that stands for a character: digits, blanks and the large scripts are classes, so the alphabet is bounded."""
     o = ord(c)
@@ -237,13 +263,13 @@ def resolved(text: str) -> str:
 
 
 def runs(text: str) -> list[tuple[int, int]]:
-    """Where the runs of a (resolved) text stand. Runs with single ASCII characters inside are taken where control characters or low quotes hint at a Japanese page."""
+    """Where the runs of a (resolved) text stand. Runs with single ASCII characters inside are taken where they may be of a Japanese page."""
     out = []
     plain = [m.span() for m in RUN.finditer(text)]
-    if any(c in text for c in "ƒ‚\x81\x82\x83ÉÇ"):
+    if plain and not shared_pages().leads.isdisjoint(text):
         for m in MIXED_RUN.finditer(text):
             run = m.group()
-            if len(run) > 5 and sum(c in "ƒ‚\x82\x83ÉÇéâ" for c in run) * 5 >= len(run) and any(c < "\x80" for c in run):
+            if len(run) > 5 and any(c < "\x80" for c in run) and shared_pages().mixed(run):
                 out.append(m.span())
     if not out:
         return plain
@@ -298,6 +324,8 @@ class Judge:
                     if x is None:
                         x = scores[text] = self.bigrams.score(left + symbols(text) + right) - own
                     odds = x + WIDE_ODDS if k >= wide else x
+                    if k >= wide + len(PAGES):
+                        odds -= sum(math.log(CLASS_SIZES.get(c, 1)) for c in symbols(text))
                     if odds > had.get(k, (0.0,))[0]:
                         had[k] = (odds, text)
             if len(self.known) >= KNOWN_RUNS:

@@ -81,3 +81,24 @@ def test_layers_are_peeled():
 def test_references_and_runs():
     assert resolved("&Atilde;&curren; &amp; &lt; &nosuch; 5 & 6") == "Ã¤ &amp; &lt; &nosuch; 5 & 6"
     assert [("aéb ↔ü"[a:b]) for a, b in runs("aéb ↔ü")] == ["é", "↔ü"] and runs("") == []
+
+
+def test_japanese_is_found_behind_all_pages(spark):
+    first, second = "キャッシュが上限を超えると、古いブロックから追い出される。", "実行のたびにメモリの使用量をログに記録してください。"
+    pages, r = Pages(), random.Random(6)
+    capitals = "ГОСТ ВАГОН ГРУППА ВРЕМЯ БЛОК Вера Гора Втроём БАЗА ГАЗ ВЫВОД ГИБДД СССР ВВОД"
+    rows = [(i, " ".join(r.choice([*SENTENCES, capitals]) for _ in range(4)), "a", "") for i in range(600)]
+    truth = {}
+    for right in ("cp932", "euc_jp"):
+        for wrong in ("cp1251", "koi8_r", "cp866", "iso8859_2", "iso8859_5", "iso8859_15", "mac_cyrillic", "mac_latin2", "cp1252"):
+            for text in (first, second):
+                bad = spoil(text, right, wrong)
+                whole = [bad[a:b] for a, b in runs(bad)]
+                assert any("の" in t or "ブロック" in t for u in whole for _, t in pages.wide_candidates(u)), (right, wrong)
+                truth[1000 + len(truth)] = text
+                rows.append((999 + len(truth), f"the log says {bad}", "a", ""))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, swap string").repartition(4)
+    found, model = find_garbled(df)
+    assert {r["doc_id"] for r in found.collect()} == set(truth)
+    restored = {r["doc_id"]: r["restored"] for r in restore_documents(df, "doc_id", "text", F.col("source"), model).collect()}
+    assert sum(restored[i] == f"the log says {t}" for i, t in truth.items()) >= 0.9 * len(truth)
