@@ -128,7 +128,8 @@ def balance(lengths: DataFrame, plan: dict[str, float], caps: dict[str, int | No
 def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, path: str = DEFAULT_TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """The chosen documents (``doc_id``, ``source``, ``n_tokens``, ``repeats``) and the report, a row for each source of either table.
 
-    Report: ``source``, ``target_share``, ``max_repeats``, ``n_docs``, ``n_tokens`` (as filed), ``docs_chosen``, ``tokens_chosen``, ``actual_share``. Sources are compared without case and
+    Report: ``source``, ``target_share``, ``max_repeats``, ``n_docs``, ``n_tokens`` (as filed), ``docs_chosen``, ``tokens_chosen``, ``actual_share``, ``part_used``
+    (tokens chosen, repeats counted, over the source's tokens) and ``binds`` (whether the source gives all its cap permits, and so bounds a mix without ``total_tokens``). Sources are compared without case and
     outer blanks; documents of null or unlisted sources are not drawn (a null source is reported as null). Texts without tokens are not drawn. A null
     ``max_repeats`` is no bound; 0 draws nothing. The same text filed under two ids is two documents. Empty tables give empty results.
     """
@@ -178,6 +179,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     chosen = chosen.filter("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
     chosen = materialize(chosen, "mix")
 
+    binding = [s for s, n in plan.items() if wanted[s].cap is not None and n >= wanted[s].cap * sizes[s] * (1 - 1e-12)]
     goals = spark.createDataFrame([(s, float(t.share), t.cap) for s, t in wanted.items()], "source string, target_share double, max_repeats long")
     have = lengths.groupBy("source").agg(F.sum("n_docs").alias("n_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("n_tokens"))
     took = chosen.groupBy("source").agg(F.count("*").alias("docs_chosen"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens_chosen"))
@@ -187,5 +189,6 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     report = report.crossJoin(F.broadcast(whole)).select(  # one row
         "source", zero("target_share").alias("target_share"), "max_repeats", zero("n_docs").alias("n_docs"), zero("n_tokens").alias("n_tokens"),
         zero("docs_chosen").alias("docs_chosen"), zero("tokens_chosen").alias("tokens_chosen"), F.coalesce(F.col("tokens_chosen") / F.col("_all"), F.lit(0.0)).alias("actual_share"),
+        F.coalesce(F.col("tokens_chosen") / F.when(F.col("n_tokens") > 0, F.col("n_tokens")), F.lit(0.0)).alias("part_used"), F.coalesce(F.col("source").isin(binding), F.lit(False)).alias("binds"),
     )
     return chosen, report

@@ -93,3 +93,12 @@ def test_copies_follow_the_tilted_rates(spark):
     # each length's part is exp(b n) of one b: long documents are thinned out much more than short ones
     assert np.log(part[lengths[0]]) == pytest.approx(np.log(part[lengths[1]]) * lengths[0] / lengths[1], abs=0.05)
     assert part[lengths[0]] > 0.8 > 0.5 > part[lengths[1]]
+
+
+def test_report_names_the_source_that_bounds_the_mix(spark):
+    rows = corpus(5, {"a": 300, "b": 20, None: 5})
+    _, shares = report(spark, rows, [("a", 0.5, 1), ("b", 0.5, 2), ("gone", 0.2, 1)])
+    assert [s for s in shares if shares[s]["binds"]] == ["b"]
+    assert shares["b"]["part_used"] == 2 and shares["gone"]["part_used"] == shares[None]["part_used"] == 0
+    assert shares["a"]["part_used"] == shares["a"]["tokens_chosen"] / shares["a"]["n_tokens"] < 0.3
+    assert not any(r["binds"] for r in report(spark, rows, [("a", 1.0, None)])[1].values())
