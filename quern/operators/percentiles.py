@@ -41,11 +41,22 @@ def distinct_events(df: DataFrame, identity: list[str], arrival: str) -> DataFra
     """One row for each event, with the time it first arrived: ``identity`` columns (null is equal to null) and ``arrival``.
 
     States of files or days add up to those of the whole log if each event counts where it first arrived. Deliveries are reduced on the map side, so an event
-    delivered very often makes no hot group.
+    delivered very often makes no hot group. The events are a state themselves: those of files or days that were reduced apart give, put together and reduced
+    again (``merge_events``), those of the whole log. Counts alone can't be freed of an event that came to two days.
     """
     return df.groupBy(*identity).agg(F.min(arrival).alias(arrival))
 
 
+def part_events(df: DataFrame, parts: list[str], identity: list[str], arrival: str) -> DataFrame:
+    """The events of each file or day (``parts``), made of its own rows only."""
+    return distinct_events(df, [*parts, *identity], arrival)
+
+
+def merge_events(events: DataFrame, identity: list[str], arrival: str) -> DataFrame:
+    """Events of files or days that were reduced apart, put together: those that came to several count once, where they first arrived."""
+    return distinct_events(events, identity, arrival)
+
+
 def merge_states(states: DataFrame, groups: list[str]) -> DataFrame:
     """Put states of files or days together, possibly dropping a grouping column: counts add up."""
     return states.groupBy(*groups, "value").agg(F.sum("n").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.intervals import interval_gaps, merge_intervals
-from quern.operators.percentiles import distinct_events, merge_states, percentiles, percentiles_of_states, value_counts
+from quern.operators.percentiles import distinct_events, merge_events, part_events, percentiles, percentiles_of_states, value_counts
 from quern.operators.regular_grid import regular_grid
 from quern.operators.skew import fragment_replicate_join, keyed_totals, large_keys
 from quern.operators.units import recorded_units
@@ -19,16 +19,22 @@ MAX_GAP_SLOTS = 20
 THREAD = ["run_id", "thread_id"]
 
 
+SPAN = ["span_id", "caller_id", "duration"]
+
+
+def _deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "compute_event_log").filter("end_nanos > start_nanos").select("span_id", "caller_id", "logged_at", (F.col("end_nanos") - F.col("start_nanos")).alias("duration"))
+
+
 def _durations(spark: SparkSession, folder: str) -> DataFrame:
     """Durations of the well-formed spans. A span that was delivered again counts once, on the day it first arrived, so days still add up."""
-    log = table(spark, folder, "compute_event_log").filter("end_nanos > start_nanos").select("span_id", "caller_id", "logged_at", (F.col("end_nanos") - F.col("start_nanos")).alias("duration"))
-    return distinct_events(log, ["span_id", "caller_id", "duration"], "logged_at")
+    return distinct_events(_deliveries(spark, folder), SPAN, "logged_at")
 
 
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles of span durations by caller, put together from the states of the arrival days."""
-    days = value_counts(_durations(spark, folder).withColumn("day", F.to_date("logged_at")), ["day", "caller_id"], F.col("duration"), BITS)
-    return percentiles_of_states(merge_states(days, ["caller_id"]), ["caller_id"], PERCENTS, bounded=True)
+    """Percentiles of span durations by caller, put together from the spans of the arrival days, each day's made of its own rows only."""
+    days = part_events(_deliveries(spark, folder).withColumn("day", F.to_date("logged_at")), ["day"], SPAN, "logged_at")
+    return percentiles_of_states(value_counts(merge_events(days, SPAN, "logged_at"), ["caller_id"], F.col("duration"), BITS), ["caller_id"], PERCENTS, bounded=True)
 
 
 def p1_day_percentiles(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators.percentiles import distinct_events, merge_states, percentiles, percentiles_of_states, value_bucket, value_counts
+from quern.operators.percentiles import distinct_events, merge_events, merge_states, part_events, percentiles, percentiles_of_states, value_bucket, value_counts
 
 PERCENTS = [0, 1, 50, 90, 100]
 
@@ -65,3 +65,18 @@ def test_events_delivered_again_count_once_on_their_first_day(spark):
     rows = [(1, "a", 5, 3), (1, "a", 5, 2), (1, "a", 5, 2), (2, None, 5, 1), (2, None, 5, 1), (3, "a", None, 1)]
     got = distinct_events(spark.createDataFrame(rows, "id int, g string, v int, day int"), ["id", "g", "v"], "day")
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "a", 5, 2), (2, None, 5, 1), (3, "a", None, 1)], key=str)
+
+
+def test_days_reduced_apart_are_put_together_without_repeats(spark):
+    r = random.Random(7)
+    spans = [(i, r.choice(["a", "b", None]), r.randrange(10**6)) for i in range(500)]
+    rows = [(*s, r.randrange(4)) for s in spans for _ in range(r.choice([1, 1, 3]))]
+    df, names = spark.createDataFrame(rows, "id int, g string, v long, day int"), ["id", "g", "v"]
+    df = df.withColumn("at", F.col("day") * 10)
+    apart = [part_events(df.filter(F.col("day") == d), ["day"], names, "at") for d in range(4)]
+    whole = value_counts(spark.createDataFrame(spans, "id int, g string, v long"), ["g"], F.col("v"), 8)
+    put = apart[3].unionByName(apart[0]).unionByName(apart[2].unionByName(apart[1]))
+    assert sorted(map(tuple, value_counts(merge_events(put, names, "at"), ["g"], F.col("v"), 8).collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    assert sorted(map(tuple, merge_events(put, names, "at").collect()), key=str) == sorted(map(tuple, distinct_events(df, names, "at").collect()), key=str)
+    # counts of the days added up would hold repeats
+    assert sum(s.count() for s in apart) > len(spans)
