@@ -4,10 +4,11 @@ A wrong decoding is a substitution cipher whose code page swap is unknown: read
 each run of non-ASCII characters in it was spoiled by that swap or not, and clean text follows letter bigrams. Expectation-maximization learns all of it from the corpus:
 
 * E step: a document's odds for each swap, from the bigram odds of the deciphered against the given runs and the swap's weight in the document's source;
-* M step: bigrams of what is clean, the weight of each swap in each source, and the mapping of symbols to letters of each swap in each source.
+* M step: bigrams of what is clean, and the weight of each swap in each source.
 
-The supports of the mappings are the public code pages; an exact check then keeps what re-encodes and decodes without loss, and single-byte swaps are undone by
-``str.translate`` with the mapping learned. Several bytes for one letter (UTF-8 and the Japanese pages) make ciphers of groups, which are split by their page; texts
+The mappings of symbols to letters are those of the public code pages in ``PAGES``: only the choice of swap is learned, and the letters counted on the way never differ from
+the pages. Text that passed through other pages isn't found by a swap. An exact check then keeps what re-encodes and decodes without loss, and single-byte swaps are
+undone by ``str.translate`` with the page tables. Several bytes for one letter (UTF-8 and the Japanese pages) make ciphers of groups, which are split by their page; texts
 wrongly decoded twice or thrice are peeled in turns. Character references (``&Atilde;``) are resolved first. U+FFFD marks bytes that are lost for good.
 """
 
