@@ -1,17 +1,18 @@
-"""Cutting hot groups into ordered slices, so that a window never holds an unbounded group.
+"""Cutting hot groups into ordered slices, so that a window never holds more than a task's share of all rows.
 
-A window over (group, slice) sees at most about ``max_rows`` rows. What a slice must know of the slices before it (a running sum, a running maximum) is
-one small row for each slice, see ``carry``. Which groups are hot is counted over all rows, and by construction there are at most ``MAX_HOT`` of them,
-so the tables made here have a proven bound and may be broadcast.
+A group is hot if it has more than a ``split * partitions``-th of all rows; so there are fewer than ``split * partitions`` hot groups, and at most twice as many slices,
+whatever the number of rows. What comes to the driver and what is broadcast is a row for each of them. What a slice must know of the slices before
+it (a running sum, a running maximum) is one row for each slice, see ``carry``. The slice of a row depends on its columns alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_HOT = 10_000
+#: Hot groups hold more than a ``SPLIT``-th of a partition's share of the rows, and more than ``MIN_ROWS`` rows.
+SPLIT, MIN_ROWS = 4, 100_000
 #: Columns added to rows; names that no table is likely to have.
 SLICE, CUT = "__quern_slice", "__quern_cut"
 
@@ -22,25 +23,29 @@ class Sliced:
     def __init__(self, df: DataFrame, keys: list[str], hot: bool):
         self.df, self.keys, self.hot = df, keys, hot
 
-    def carry(self, **aggregates: tuple[Column, str]) -> DataFrame:
-        """``df`` with, for each name, the ``sum`` or ``max`` of a column over all earlier slices of the group (null in the first slice)."""
+    def _own(self, aggregates: list[Column]) -> DataFrame:
+        return self.df.filter(F.col(CUT)).groupBy(*self.keys, SLICE).agg(*aggregates)
+
+    def carry(self, rows: DataFrame | None = None, **aggregates: tuple[Column, str]) -> DataFrame:
+        """``rows`` (or ``df``) with, for each name, the ``sum`` or ``max`` of a column of ``df`` over all earlier slices of the group (null in the first slice)."""
+        rows = self.df if rows is None else rows
         if not self.hot:
-            return self.df.withColumns({n: F.lit(None) for n in aggregates})
+            return rows.withColumns({n: F.lit(None).cast(self.df.select(c).schema[0].dataType) for n, (c, _) in aggregates.items()})
         kinds = {"sum": F.sum, "max": F.max}
-        own = self.df.filter(F.col(CUT)).groupBy(*self.keys, SLICE).agg(*(kinds[k](c).alias(n) for n, (c, k) in aggregates.items()))
+        own = self._own([kinds[k](c).alias(n) for n, (c, k) in aggregates.items()])
         before = Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
         own = own.select(*self.keys, SLICE, *(kinds[k](n).over(before).alias(n) for n, (_, k) in aggregates.items()))
-        return null_safe_join(self.df, F.broadcast(own), [*self.keys, SLICE])
-
+        return null_safe_join(rows, F.broadcast(own), [*self.keys, SLICE])  # a row a slice
 
-    def carry_after(self, **aggregates: tuple[Column, str]) -> DataFrame:
+    def carry_after(self, rows: DataFrame | None = None, **aggregates: tuple[Column, str]) -> DataFrame:
         """As ``carry``, with the ``min`` over all later slices of the group (null in the last)."""
+        rows = self.df if rows is None else rows
         if not self.hot:
-            return self.df.withColumns({n: F.lit(None).cast(self.df.select(c).schema[0].dataType) for n, (c, _) in aggregates.items()})
-        own = self.df.filter(F.col(CUT)).groupBy(*self.keys, SLICE).agg(*(F.min(c).alias(n) for n, (c, _) in aggregates.items()))
+            return rows.withColumns({n: F.lit(None).cast(self.df.select(c).schema[0].dataType) for n, (c, _) in aggregates.items()})
+        own = self._own([F.min(c).alias(n) for n, (c, _) in aggregates.items()])
         after = Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)
         own = own.select(*self.keys, SLICE, *(F.min(n).over(after).alias(n) for n in aggregates))
-        return null_safe_join(self.df, F.broadcast(own), [*self.keys, SLICE])
+        return null_safe_join(rows, F.broadcast(own), [*self.keys, SLICE])  # a row a slice
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
@@ -50,41 +55,38 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return joined.drop(*(f"_r_{c}" for c in on))
 
 
-def slice_hot_groups(df: DataFrame, keys: list[str], order: str, max_rows: int = 250_000, spread_ties: bool = True) -> Sliced:
-    """Give each row a slice number that rises with ``order`` within its group; 0 everywhere in groups of at most ``max_rows`` rows.
+def partitions_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slice_hot_groups(df: DataFrame, keys: list[str], order: str, min_rows: int = MIN_ROWS, split: int = SPLIT) -> Sliced:
+    """Give each row a slice number that rises with ``order`` within its group; 0 everywhere in groups that are not hot.
 
-    ``order`` must be an integral column. Rows with a null ``order`` stay in slice 0. Rows of equal ``order`` may be spread over neighbouring slices, so
-    even a group of copies is cut; what is computed over the slices must then not depend on the order of ties. Without ``spread_ties`` they stay together.
+    ``order`` must be of a numeric type. Rows with a null ``order`` stay in slice 0. Rows of equal ``order`` share a slice: callers reduce them (on the map side) where
+    copies of a row may be very many.
     """
-    counts = df.groupBy(*keys).count()
-    limit = max_rows
-    hot = counts.filter(F.col("count") > limit).limit(MAX_HOT + 1).collect()
-    if len(hot) > MAX_HOT:
-        # raise the limit to a share of all rows of which fewer groups can hold more
-        total = counts.agg(F.sum("count")).first()[0]
-        limit = max(limit, -(-total // MAX_HOT))
-        hot = counts.filter(F.col("count") > limit).collect()
+    most = split * partitions_of(df)
+    seen = Observation()
+    top = df.groupBy(*keys).count().observe(seen, F.sum("count").alias("total")).orderBy(F.desc("count")).limit(most).collect()
+    total = seen.get["total"] or 0
+    limit = max(min_rows, -(-total // most))
+    hot = [r for r in top if r["count"] > limit]
     if not hot:
         return Sliced(df.withColumns({SLICE: F.lit(0), CUT: F.lit(False)}), keys, False)
     spark = df.sparkSession
     types = [df.schema[k] for k in keys]
-    cuts = spark.createDataFrame([(*(r[k] for k in keys), -(-r["count"] // limit)) for r in hot], T.StructType([*types, T.StructField("_parts", T.LongType())]))
-    parts = max(-(-r["count"] // limit) for r in hot)
-    within = null_safe_join(df.select(*keys, order), F.broadcast(cuts), keys, "inner")
-    bounds = within.groupBy(*keys).agg(
-        F.first("_parts").alias("_parts"),
-        F.percentile_approx(order, [i / (8 * parts) for i in range(1, 8 * parts)] if parts <= 1250 else [i / 10_000 for i in range(1, 10_000)], 10_000).alias("_fine"),
-    )
-    # every group takes as many of the fine cuts as it needs
-    step = F.size("_fine") + 1
-    bounds = bounds.select(
-        *keys,
-        F.transform(F.sequence(F.lit(1), (F.col("_parts") - 1).cast("int")), lambda i: F.element_at("_fine", F.greatest(F.lit(1), F.floor(i * step / F.col("_parts")).cast("int")))).alias("__quern_bounds"),
-    )
-    bounds = spark.createDataFrame(bounds.collect(), T.StructType([*types, T.StructField("__quern_bounds", T.ArrayType(T.LongType()))]))
+    need = {tuple(r[k] for k in keys): -(-r["count"] // limit) for r in hot}
+    named = spark.createDataFrame(list(need), T.StructType(types))
+    fine = min(10_000, 8 * max(need.values()))
+    within = null_safe_join(df.select(*keys, order), F.broadcast(named), keys, "inner")
+    found = within.groupBy(*keys).agg(F.percentile_approx(order, [i / fine for i in range(1, fine)], 10_000).alias("_fine")).collect()
+    cuts = []
+    for r in found:
+        key = tuple(r[k] for k in keys)
+        if r["_fine"]:  # all of a group's order may be null
+            parts = need[key]
+            cuts.append((*key, sorted({r["_fine"][min(max(i * fine // parts, 1), fine - 1) - 1] for i in range(1, parts)})))
+    bounds = spark.createDataFrame(cuts, T.StructType([*types, T.StructField("__quern_bounds", T.ArrayType(df.schema[order].dataType))]))
     df = null_safe_join(df, F.broadcast(bounds), keys)
-    below = F.size(F.filter("__quern_bounds", lambda b: b < F.col(order)))
-    ties = F.size(F.filter("__quern_bounds", lambda b: b == F.col(order)))
-    spread = F.when(ties > 0, F.pmod(F.xxhash64(F.monotonically_increasing_id()), ties + 1)).otherwise(0) if spread_ties else F.lit(0)
-    number = F.when(F.col("__quern_bounds").isNull() | F.col(order).isNull(), 0).otherwise(below + spread).cast("int")
+    number = F.when(F.col("__quern_bounds").isNull() | F.col(order).isNull(), 0).otherwise(F.size(F.filter("__quern_bounds", lambda b: b < F.col(order)))).cast("int")
     return Sliced(df.withColumns({SLICE: number, CUT: F.col("__quern_bounds").isNotNull()}).drop("__quern_bounds"), keys, True)

@@ -38,14 +38,14 @@ def rows_of(seed, n):
     return out
 
 
-@pytest.mark.parametrize("max_rows", [1_000_000, 7, 1])
+@pytest.mark.parametrize("min_rows", [1_000_000, 7, 1])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_gaps_and_periods_match_brute_force(spark, seed, max_rows):
+def test_gaps_and_periods_match_brute_force(spark, seed, min_rows):
     rows = rows_of(seed, 150)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     gaps, periods = brute(rows)
-    assert sorted(map(tuple, interval_gaps(df, KEYS, max_rows=max_rows).collect())) == gaps
-    assert sorted(map(tuple, merge_intervals(df, KEYS, max_rows=max_rows).collect())) == periods
+    assert sorted(map(tuple, interval_gaps(df, KEYS, min_rows=min_rows).collect())) == gaps
+    assert sorted(map(tuple, merge_intervals(df, KEYS, min_rows=min_rows).collect())) == periods
 
 
 def test_touching_spans_leave_no_gap_and_empty_tables_none(spark):

@@ -42,16 +42,16 @@ def brute(rows):
     return sorted(gaps), sorted(merged, key=str)
 
 
-@pytest.mark.parametrize("max_rows", [10**6, 9, 1])
+@pytest.mark.parametrize("min_rows", [10**6, 9, 1])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_gaps_and_merged_segments(spark, seed, max_rows):
+def test_gaps_and_merged_segments(spark, seed, min_rows):
     rows = make(seed)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     gaps, merged = brute(rows)
-    assert sorted(map(tuple, timeline.idle_gaps(df, ties=["span_id"], max_rows=max_rows).collect())) == gaps
-    got = timeline.merge_segments(timeline.segments(df, include_idle=False), max_rows=max_rows)
+    assert sorted(map(tuple, timeline.idle_gaps(df, ties=["span_id"], min_rows=min_rows).collect())) == gaps
+    got = timeline.merge_segments(timeline.segments(df, include_idle=False), min_rows=min_rows)
     assert sorted(map(tuple, got.collect()), key=str) == merged
-    whole = timeline.segments(df, ties=["span_id"], max_rows=max_rows)
+    whole = timeline.segments(df, ties=["span_id"], min_rows=min_rows)
     assert whole.filter(whole.label == timeline.IDLE).count() == len(gaps)
 
 
@@ -74,3 +74,13 @@ def test_caller_ranks_and_empty_logs(spark):
     assert [r["caller_id"] for r in got] == [f"c{i:03}" for i in range(50)] and [r["colour"] for r in got][19:22] == [19, 0, 1]
     empty = df.limit(0)
     assert timeline.caller_index(empty).count() == timeline.idle_gaps(empty).count() == timeline.merge_segments(timeline.segments(empty)).count() == 0
+
+
+def test_hot_threads_of_ties_and_copies(spark):
+    r = random.Random(9)
+    rows = [(1, 1, r.choice("ab"), 50, 50 + r.choice([1, 2, 3]), i, "") for i in range(150)] + [(1, 1, "a", 53, 60, 7, "")] * 60
+    rows += [(1, 1, "a", t, t + 2, t, "") for t in range(0, 120, 2)] + [(1, 2, "b", 1, 2, 1, "")] * 40
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    gaps, merged = brute(rows)
+    assert sorted(map(tuple, timeline.idle_gaps(df, ties=["span_id"], min_rows=1).collect())) == gaps
+    assert sorted(map(tuple, timeline.merge_segments(timeline.segments(df, include_idle=False), min_rows=1).collect()), key=str) == merged
