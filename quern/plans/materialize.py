@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,6 +31,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Steps of a plan after which a task that is run again may meet its rows in another order.
+MOVES = re.compile(r"(?m)^[\s:+-]*(Aggregate|Join|Repartition\w*|RebalancePartitions|Sort|Window|Distinct|Deduplicate|Except|Intersect|GlobalLimit|Sample)\b")
+
+
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself if its rows come straight from files, so that their places are the same whenever a task is run; else written and read back."""
+    return materialize(df, name) if MOVES.search(df._jdf.queryExecution().optimizedPlan().toString()) else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int):
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows (counted, reading no more than needed), else as it is."""
     from pyspark.sql import functions as F

@@ -64,13 +64,32 @@ def p2_caller_totals(spark: SparkSession, folder: str) -> DataFrame:
     return each[0].unionByName(each[1])
 
 
+def _durations_by_caller(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "compute_event_log").filter("end_nanos > start_nanos").select("caller_id", (F.col("end_nanos") - F.col("start_nanos")).alias("duration"))
+
+
+def slow_spans_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """Each well-formed span with its caller's mean duration."""
+    log = _durations_by_caller(spark, folder)
+    profile = keyed_totals(log, ["caller_id"], {"busy": F.col("duration")}).select("caller_id", F.floor(F.col("busy") / F.col("n_rows")).alias("mean_ns"))
+    return fragment_replicate_join(log, profile, ["caller_id"], how="inner")
+
+
 def p2_slow_spans(spark: SparkSession, folder: str) -> DataFrame:
     """By caller, the spans that took more than twice the caller's mean: every row meets its caller's profile in a fragment-replicate join."""
-    log = table(spark, folder, "compute_event_log").filter("end_nanos > start_nanos").select("caller_id", (F.col("end_nanos") - F.col("start_nanos")).alias("duration"))
-    profile = keyed_totals(log, ["caller_id"], {"busy": F.col("duration")}).select("caller_id", F.floor(F.col("busy") / F.col("n_rows")).alias("mean_ns"))
-    joined = fragment_replicate_join(log, profile, ["caller_id"], how="inner")
     slow = F.col("duration") > 2 * F.col("mean_ns")
-    return joined.groupBy("caller_id").agg(F.first("mean_ns").alias("mean_ns"), F.count("*").alias("n_spans"), F.sum(slow.cast("long")).alias("n_slow"))
+    return slow_spans_joined(spark, folder).groupBy("caller_id").agg(F.first("mean_ns").alias("mean_ns"), F.count("*").alias("n_spans"), F.sum(slow.cast("long")).alias("n_slow"))
+
+
+def p2_spans_with_reads(spark: SparkSession, folder: str) -> DataFrame:
+    """By caller, the spans that are shorter than the caller's mean disk read, and callers that read nothing: the matching side has a row for each caller of the other log, however many these are."""
+    reads = keyed_totals(table(spark, folder, "disk_read_event_log"), ["caller_id"], {"read_ns": _busy(), "read_bytes": F.col("num_bytes")})
+    reads = reads.select("caller_id", F.col("n_rows").alias("n_reads"), "read_ns", "read_bytes")
+    joined = fragment_replicate_join(_durations_by_caller(spark, folder), reads, ["caller_id"])
+    short = F.coalesce(F.col("duration") * F.col("n_reads") < F.col("read_ns"), F.lit(False))
+    return joined.groupBy("caller_id").agg(
+        F.coalesce(F.first("n_reads"), F.lit(0)).alias("n_reads"), F.coalesce(F.first("read_bytes"), F.lit(0)).alias("read_bytes"), F.count("*").alias("n_spans"), F.sum(short.cast("long")).alias("n_short")
+    )
 
 
 def _units(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +126,7 @@ def p5_grid(spark: SparkSession, folder: str) -> DataFrame:
     return _grid(spark, folder)
 
 
-QUERIES = [p1_percentiles, p1_day_percentiles, p1_exact_percentiles, p2_found, p2_caller_totals, p2_slow_spans, p3_found, p3_seconds, p4_found, p4_periods, p5_found, p5_grid]
+QUERIES = [p1_percentiles, p1_day_percentiles, p1_exact_percentiles, p2_found, p2_caller_totals, p2_slow_spans, p2_spans_with_reads, p3_found, p3_seconds, p4_found, p4_periods, p5_found, p5_grid]
 
 
 def _picked(states: str, keys: str, percents: list[int]) -> str:
@@ -145,6 +164,10 @@ ORACLE = {
     ),
     "p2_slow_spans": f"""with spans as ({_ROWS}), means as (select *, floor(avg(d) over (partition by caller_id))::bigint as mean_ns from spans)
         select caller_id, mean_ns, count(*) as n_spans, count(*) filter (where d > 2 * mean_ns) as n_slow from means group by caller_id, mean_ns""",
+    "p2_spans_with_reads": f"""with spans as ({_ROWS}), reads as (select caller_id, count(*) as n_reads, coalesce(sum(num_bytes), 0)::bigint as read_bytes,
+            coalesce(sum(end_nanos - start_nanos) filter (where end_nanos > start_nanos), 0) as read_ns from disk_read_event_log group by caller_id)
+        select s.caller_id, coalesce(max(n_reads), 0) as n_reads, coalesce(max(read_bytes), 0) as read_bytes, count(*) as n_spans,
+            count(*) filter (where d * n_reads < read_ns) as n_short from spans s left join reads r on s.caller_id is not distinct from r.caller_id group by s.caller_id""",
     "p4_found": """with spans as (select run_id, thread_id, start_nanos as s, end_nanos as e from compute_event_log
                                   where run_id is not null and thread_id is not null and end_nanos > start_nanos),
         reached as (select *, max(e) over (partition by run_id, thread_id order by s rows between unbounded preceding and 1 preceding) as r from spans)
