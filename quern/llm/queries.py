@@ -1,4 +1,4 @@
-"""The queries of the text operators, each over its whole tables. None has an equivalent in plain SQL; tests/llm holds them against brute force."""
+"""The queries of this package, each over its whole tables. Where plain SQL can't say the same, tests/llm holds them against brute force."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.encodings import find_garbled, restore_documents
+from quern.llm.percentiles import merge_states, percentiles, percentiles_of_states, value_counts
 from quern.llm.mixing import mix_sources, source_name
 from quern.llm.tokens import count_tokens, encode_corpus
 
@@ -16,6 +17,33 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+PERCENTS = [1, 10, 25, 50, 75, 90, 99]
+BITS = 8
+
+
+def _durations(spark: SparkSession, folder: str) -> DataFrame:
+    """Durations of the well-formed spans by arrival day; rows count as they stand."""
+    log = _table(spark, folder, "compute_event_log").filter("end_nanos > start_nanos")
+    return log.select("caller_id", F.to_date("logged_at").alias("day"), (F.col("end_nanos") - F.col("start_nanos")).alias("duration"))
+
+
+def _day_states(spark: SparkSession, folder: str) -> DataFrame:
+    return value_counts(_durations(spark, folder), ["day", "caller_id"], F.col("duration"), BITS)
+
+
+def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of span durations by caller, put together from the states of the arrival days."""
+    return percentiles_of_states(merge_states(_day_states(spark, folder), ["caller_id"]), ["caller_id"], PERCENTS)
+
+
+def p1_day_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    return percentiles_of_states(_day_states(spark, folder), ["day", "caller_id"], [50, 90])
+
+
+def p1_exact_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    return percentiles(_durations(spark, folder), ["caller_id"], F.col("duration"), PERCENTS, bits=None)
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(_table(spark, folder, "documents"))
 
@@ -45,8 +73,24 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p6_token_counts, p7_mix, p7_shares, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p1_exact_percentiles, p6_ids, p6_token_counts, p7_mix, p7_shares, p8_found, p8_restored)}
+
+
+def _picked(states: str, keys: str, percents: list[int]) -> str:
+    picks = ", ".join(f"min(value) filter (where upto >= greatest(ceil(total * {p} / 100), 1)) as p{p}" for p in percents)
+    return f"""
+        runs as (select {keys}, value, n, sum(n) over (partition by {keys} order by value) as upto, sum(n) over (partition by {keys}) as total from {states})
+        select {keys}, max(total)::bigint as n, {picks} from runs group by {keys}"""
+
+
+_SPANS = "select caller_id, logged_at, end_nanos - start_nanos as d from compute_event_log where end_nanos > start_nanos"
+_BUCKETS = f"""cut as (select *, greatest(length(bin(d)) - 1 - {BITS}, 0) as k from ({_SPANS})),
+        mids as (select *, ((d >> k) << k) + ((1::bigint << k) >> 1) as value from cut)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_percentiles": f"with {_BUCKETS}, states as (select caller_id, value, count(*) as n from mids group by all), {_picked('states', 'caller_id', PERCENTS)}",
+        "p1_day_percentiles": f"with {_BUCKETS}, states as (select logged_at::date as day, caller_id, value, count(*) as n from mids group by all), {_picked('states', 'day, caller_id', [50, 90])}",
+        "p1_exact_percentiles": f"with states as (select caller_id, d as value, count(*) as n from ({_SPANS}) group by all), {_picked('states', 'caller_id', PERCENTS)}",
+    }
