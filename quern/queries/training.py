@@ -6,46 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.intervals import interval_gaps, merge_intervals
-from quern.operators.percentiles import distinct_events, merge_events, part_events, percentiles, percentiles_of_states, value_counts
 from quern.operators.regular_grid import regular_grid
 from quern.operators.skew import fragment_replicate_join, keyed_totals, large_keys
 from quern.operators.units import recorded_units
 from quern.sources.tables import table
 
-PERCENTS = [1, 10, 25, 50, 75, 90, 99]
-BITS = 8
 STEP_NS = 100_000_000
 MAX_GAP_SLOTS = 20
 THREAD = ["run_id", "thread_id"]
 
 
-SPAN = ["span_id", "caller_id", "duration"]
-
-
-def _deliveries(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "compute_event_log").filter("end_nanos > start_nanos").select("span_id", "caller_id", "logged_at", (F.col("end_nanos") - F.col("start_nanos")).alias("duration"))
-
-
-def _durations(spark: SparkSession, folder: str) -> DataFrame:
-    """Durations of the well-formed spans. A span that was delivered again counts once, on the day it first arrived, so days still add up."""
-    return distinct_events(_deliveries(spark, folder), SPAN, "logged_at")
-
-
-def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles of span durations by caller, put together from the spans of the arrival days, each day's made of its own rows only."""
-    days = part_events(_deliveries(spark, folder).withColumn("day", F.to_date("logged_at")), ["day"], SPAN, "logged_at")
-    return percentiles_of_states(value_counts(merge_events(days, SPAN, "logged_at"), ["caller_id"], F.col("duration"), BITS), ["caller_id"], PERCENTS, bounded=True)
-
-
-def p1_day_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    days = value_counts(_durations(spark, folder).withColumn("day", F.to_date("logged_at")), ["day", "caller_id"], F.col("duration"), BITS)
-    return percentiles_of_states(days, ["day", "caller_id"], [50, 90], bounded=True)
-
-
-def p1_exact_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    return percentiles(_durations(spark, folder), ["caller_id"], F.col("duration"), PERCENTS, bits=None)
-
-
 LOGS = ["compute_event_log", "disk_read_event_log"]
 
 
@@ -126,21 +96,10 @@ def p5_grid(spark: SparkSession, folder: str) -> DataFrame:
     return _grid(spark, folder)
 
 
-QUERIES = [p1_percentiles, p1_day_percentiles, p1_exact_percentiles, p2_found, p2_caller_totals, p2_slow_spans, p2_spans_with_reads, p3_found, p3_seconds, p4_found, p4_periods, p5_found, p5_grid]
-
-
-def _picked(states: str, keys: str, percents: list[int]) -> str:
-    picks = ", ".join(f"min(value) filter (where upto >= greatest(ceil(total * {p} / 100), 1)) as p{p}" for p in percents)
-    return f"""
-        runs as (select {keys}, value, n, sum(n) over (partition by {keys} order by value) as upto, sum(n) over (partition by {keys}) as total from {states})
-        select {keys}, max(total)::bigint as n, {picks} from runs group by {keys}"""
+QUERIES = [p2_found, p2_caller_totals, p2_slow_spans, p2_spans_with_reads, p3_found, p3_seconds, p4_found, p4_periods, p5_found, p5_grid]
 
 
-_SPANS = "select caller_id, min(logged_at) as logged_at, end_nanos - start_nanos as d from compute_event_log where end_nanos > start_nanos group by span_id, caller_id, d"
 _ROWS = "select caller_id, end_nanos - start_nanos as d from compute_event_log where end_nanos > start_nanos"
-_BUCKETS = f"""spans as ({_SPANS}),
-        cut as (select *, greatest(length(bin(d)) - 1 - {BITS}, 0) as k from spans),
-        mids as (select *, ((d >> k) << k) + ((1::bigint << k) >> 1) as value from cut)"""
 _GRID = """readings as (
             select run_id, 'cache_size' as metric, timestamp_ns as t, cache_size as value, logged_at, reading_id from cache_size_event_log
             union all select run_id, 'pinned_size', timestamp_ns, pinned_size, logged_at, reading_id from cache_size_event_log),
@@ -155,9 +114,6 @@ _GRID = """readings as (
                    window w as (partition by g.run_id, g.metric order by g.slot_ns rows between unbounded preceding and current row))"""
 
 ORACLE = {
-    "p1_percentiles": f"with {_BUCKETS}, states as (select caller_id, value, count(*) as n from mids group by all), {_picked('states', 'caller_id', PERCENTS)}",
-    "p1_day_percentiles": f"with {_BUCKETS}, states as (select logged_at::date as day, caller_id, value, count(*) as n from mids group by all), {_picked('states', 'day, caller_id', [50, 90])}",
-    "p1_exact_percentiles": f"with spans as ({_SPANS}), states as (select caller_id, d as value, count(*) as n from spans group by all), {_picked('states', 'caller_id', PERCENTS)}",
     "p2_found": " union all ".join(f"select '{log}' as log_name, caller_id from {log} where caller_id is not null group by caller_id having count(*) >= 0.05 * (select count(*) from {log})" for log in LOGS),
     "p2_caller_totals": " union all ".join(
         f"select '{log}' as log_name, caller_id, count(*) as n_rows, coalesce(sum(end_nanos - start_nanos) filter (where end_nanos > start_nanos), 0)::bigint as busy_ns from {log} group by caller_id" for log in LOGS
