@@ -1,11 +1,10 @@
 import random
 
-import numpy as np
 import pyarrow as pa
 import pytest
 
 from quern.llm import tokens
-from quern.llm.tokens import DEFAULT_TOKENIZER, Encoder, Merges, count_tokens, encode_corpus, replay
+from quern.llm.tokens import DEFAULT_TOKENIZER, Merges, count_tokens, encode_corpus, replay
 
 TEXTS = [
     None, "", " ", "aaaaaaaaaaaaaaaaaaaaaaa", "it's he'll I'd we've you're I'm don't", "été naïve Größe 速い реже 👨‍💻🏽", "<|endoftext|> is text", "tabs\t\t and \r\n\r\n lines  ", "x" * 30_001, "ab" * 5000,
@@ -38,16 +37,28 @@ def test_ids_equal_the_public_library(spark, reference):
     assert encode_corpus(df.limit(0)).count() == 0
 
 
-def test_blocks_and_forgetting_change_nothing(reference, monkeypatch):
-    monkeypatch.setattr(tokens, "KNOWN_WORDS", 20)
-    encoder = Encoder(Merges.load())
-    texts = noise(2, 60)
-    for a in range(0, 60, 7):
-        ids, counts = encoder.encode(texts[a : a + 7])
-        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [reference(t) for t in texts[a : a + 7]]
-    monkeypatch.setattr(tokens, "BLOCK_CHARS", 50)
-    ranges = list(tokens._blocks(texts))
-    assert ranges[0][0] == 0 and ranges[-1][1] == 60 and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
+def test_blocks_change_nothing(spark, reference):
+    texts = noise(2, 60) + [None, "", "x" * 700]
+    assert [len(b) for b in tokens._blocks(enumerate(["a" * 30, "b" * 30, "c" * 300, None]), 50)] == [2, 1, 1]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for most in (1, 50, 10**9):
+        got = {r["doc_id"]: r["ids"] for r in encode_corpus(df, block_chars=most).collect()}
+        assert got == {i: reference(t) for i, t in enumerate(texts)}
+    assert {r["n_tokens"] for r in count_tokens(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")).collect()} == {0}
+
+
+def test_files_of_another_order_or_split_are_refused(tmp_path):
+    import json
+
+    model = json.load(open(DEFAULT_TOKENIZER, encoding="utf-8"))
+    merges = model["model"]["merges"]
+    model["model"]["merges"] = [merges[1], merges[0], *merges[2:]]
+    (tmp_path / "a.json").write_text(json.dumps(model), encoding="utf-8")
+    model["model"]["merges"], model["pre_tokenizer"] = merges, {"type": "Whitespace"}
+    (tmp_path / "b.json").write_text(json.dumps(model), encoding="utf-8")
+    for name in ("a.json", "b.json"):
+        with pytest.raises(ValueError):
+            Merges.load(str(tmp_path / name))
 
 
 def test_replay_merges_overlapping_places_from_the_left():
