@@ -20,7 +20,7 @@ from quern.llm.tokens import DEFAULT_TOKENIZER, count_tokens
 from quern.plans.materialize import materialize
 
 BUCKETS = 65_536
-MAX_STEPS, TOLERANCE = 100, 1e-10
+MAX_STEPS, TOLERANCE = 100, 1e-9
 
 
 def source_name(source: Column) -> Column:
@@ -122,7 +122,9 @@ def balance(lengths: DataFrame, plan: dict[str, float], caps: dict[str, int | No
             step = b - np.log(r["w1"] / want) * r["w1"] / r["w2"] if r["w1"] > 0 and r["w2"] > 0 else float("nan")
             at[s] = float(step) if low[s] < step < high[s] and miss < last[s] / 2 else (low[s] + high[s]) / 2
             last[s] = miss
-    return {s: (b, mean[s]) for s, b in (done | at).items()}
+    if at:
+        raise ArithmeticError(f"no balance within {MAX_STEPS} steps for {sorted(at)}")
+    return {s: (b, mean[s]) for s, b in done.items()}
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, path: str = DEFAULT_TOKENIZER) -> tuple[DataFrame, DataFrame]:

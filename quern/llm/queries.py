@@ -60,6 +60,17 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))[1]
 
 
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """For each source whether the mix keeps the cap on its repeats, and meets the target (among the sources that have tokens) by the tokens of one document."""
+    chosen, report = mix_sources(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))
+    most = chosen.groupBy("source").agg(F.max("repeats").alias("most"), F.max("n_tokens").alias("longest"))
+    sums = report.agg(F.sum("tokens_chosen").alias("all_tokens"), F.sum(F.when(F.col("n_tokens") > 0, F.col("target_share"))).alias("all_shares"))  # one row
+    rows = report.join(most, "source", "left").crossJoin(F.broadcast(sums))
+    goal = F.when(F.col("n_tokens") > 0, F.col("target_share") / F.col("all_shares") * F.col("all_tokens")).otherwise(0.0)
+    cap_kept = F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True))
+    return rows.select("source", F.round("target_share", 9).alias("target_share"), "max_repeats", "n_docs", cap_kept.alias("cap_kept"), (F.abs(F.col("tokens_chosen") - goal) <= F.coalesce("longest", F.lit(0))).alias("target_met"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     found, _ = find_garbled(_table(spark, folder, "documents"), source=source_name(F.col("source")))
     return found.select("doc_id")
@@ -73,7 +84,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p1_exact_percentiles, p6_ids, p6_token_counts, p7_mix, p7_shares, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p1_exact_percentiles, p6_ids, p6_token_counts, p7_mix, p7_shares, p7_kept, p8_found, p8_restored)}
 
 
 def _picked(states: str, keys: str, percents: list[int]) -> str:
@@ -88,8 +99,14 @@ _BUCKETS = f"""cut as (select *, greatest(length(bin(d)) - 1 - {BITS}, 0) as k f
         mids as (select *, ((d >> k) << k) + ((1::bigint << k) >> 1) as value from cut)"""
 
 
+_NAMED = "lower(regexp_replace(source, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_kept": f"""with docs as (select {_NAMED} as source, count(*) as n_docs from documents group by all),
+            goals as (select {_NAMED} as source, sum(target_share) as target_share, min(max_repeats)::bigint as max_repeats from mix_targets group by all)
+            select source, round(coalesce(target_share, 0), 9) as target_share, max_repeats, coalesce(n_docs, 0) as n_docs, true as cap_kept, true as target_met from docs full join goals using (source)""",
         "p1_percentiles": f"with {_BUCKETS}, states as (select caller_id, value, count(*) as n from mids group by all), {_picked('states', 'caller_id', PERCENTS)}",
         "p1_day_percentiles": f"with {_BUCKETS}, states as (select logged_at::date as day, caller_id, value, count(*) as n from mids group by all), {_picked('states', 'day, caller_id', [50, 90])}",
         "p1_exact_percentiles": f"with states as (select caller_id, d as value, count(*) as n from ({_SPANS}) group by all), {_picked('states', 'caller_id', PERCENTS)}",

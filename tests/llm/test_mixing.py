@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from quern.llm import mixing
 from quern.llm.mixing import Target, balance, mix_sources, planned_tokens
 
 WORDS = "the block of a run was read from disk and kept in cache".split()
@@ -102,3 +103,22 @@ def test_report_names_the_source_that_bounds_the_mix(spark):
     assert shares["b"]["part_used"] == 2 and shares["gone"]["part_used"] == shares[None]["part_used"] == 0
     assert shares["a"]["part_used"] == shares["a"]["tokens_chosen"] / shares["a"]["n_tokens"] < 0.3
     assert not any(r["binds"] for r in report(spark, rows, [("a", 1.0, None)])[1].values())
+
+
+def test_no_balance_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", 1)
+    lengths = spark.createDataFrame([("a", 3, 10), ("a", 900, 10)], "source string, n_tokens int, n_docs long")
+    with pytest.raises(ArithmeticError):
+        balance(lengths, {"a": 500.0}, {"a": 1})
+
+
+def test_moments_hold_and_tilt_is_not_zero(spark):
+    r = random.Random(4)
+    have = {n: r.randrange(1, 90) for n in sorted({int(r.lognormvariate(5, 1.2)) + 1 for _ in range(300)})}
+    tokens = sum(n * d for n, d in have.items())
+    lengths = spark.createDataFrame([("a", n, d) for n, d in have.items()], "source string, n_tokens int, n_docs long")
+    for part, cap in ((0.1, 1), (0.6, 2), (2.5, 3)):
+        b, mean = balance(lengths, {"a": part * tokens}, {"a": cap})["a"]
+        rate = {n: min(cap, np.exp(b * n / mean)) for n in have}
+        assert abs(b) > 0.1 and sum(n * d * rate[n] for n, d in have.items()) == pytest.approx(part * tokens, rel=1e-6)
+        assert len({round(x, 6) for x in rate.values()}) > 50
