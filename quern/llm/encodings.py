@@ -4,17 +4,20 @@ A wrong decoding is a substitution cipher whose code page swap is unknown: read
 each run of non-ASCII characters in it was spoiled by that swap or not, and clean text follows letter bigrams. Expectation-maximization learns all of it from the corpus:
 
 * E step: a document's odds for each swap, from the bigram odds of the deciphered against the given runs and the swap's weight in the document's source;
-* M step: bigrams of what is clean, and the weight of each swap in each source.
+* M step: bigrams of what is clean, the weight of each swap in each source, and, from the neighbours that no listed swap explains, each source's own mapping of symbols to
+  letters (``quern.llm.ciphers``).
 
-The mappings of symbols to letters are those of the public code pages in ``PAGES``: only the choice of swap is learned, and the letters counted on the way never differ from
-the pages. Text that passed through other pages isn't found by a swap. An exact check then keeps what re-encodes and decodes without loss, and single-byte swaps are
-undone by ``str.translate`` with the page tables. Several bytes for one letter (UTF-8 and the Japanese pages) make ciphers of groups, which are split by their page; texts
-wrongly decoded twice or thrice are peeled in turns. Character references (``&Atilde;``) are resolved first. U+FFFD marks bytes that are lost for good.
+Swaps of the ``PAGES`` start as listed mappings; a source's learned mapping is one more swap, which needs no page and is applied by ``str.translate`` like those. An exact check
+keeps what goes back to the given text without loss. Several bytes for one letter (UTF-8 and the Japanese pages) make ciphers of groups, which are split by their page;
+texts wrongly decoded several times are peeled in turns. Character references (``&Atilde;``) are resolved first. U+FFFD marks bytes that are lost for good.
+
+What is known of a source (weights, mapping) stays in a table that is joined to its documents; only the bigrams, which the alphabet bounds, come to the driver.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import math
 import re
 from collections import Counter
@@ -23,29 +26,27 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.plans.materialize import materialize
+from quern.llm.ciphers import learn_cipher, margins
+from quern.plans.materialize import broadcast_if_small, materialize
 
 #: Pages that text is taken to be written or read in.
 PAGES = "cp1252 latin_1 mac_roman cp437 cp850 cp852 cp1250 iso8859_2 iso8859_15 cp1251 koi8_r cp866 iso8859_5 mac_cyrillic mac_latin2".split()
 WIDE = ["utf_8", "cp932", "euc_jp"]
-DEPTH = 3
 STEPS = 4
 #: Shares of a document's runs that a swap may have spoiled, all held likely alike.
 SHARES = (0.02, 0.3, 0.95)
 #: A swap's weight in a source is learned, but not below this; a document is a case if its best swap has at least these odds.
 LEAST_WEIGHT, ODDS = 0.02, 0.3
-#: With more sources than this, weights and mappings are learned for all of them as one, so what is gathered stays bounded.
-MAX_SOURCES = 10_000
 SMOOTH = 2.0
 #: Clean runs are seldom well-formed in a page of several bytes a letter by accident: log odds for such a page beside those of the bigrams.
 WIDE_ODDS = math.log(10)
 #: Log odds by single characters under which a single-byte swap isn't tried.
 UNLIKELY = -5.0
-#: How many letters a Japanese class of the bigram model stands for. Letters of a class are all one symbol there, which makes them too likely beside other scripts.
-CLASS_SIZES = {"あ": 83, "ア": 86, "漢": 3000, "、": 60, "！": 90}
+#: How many letters a class of the bigram model stands for. Letters of a class are all one symbol there, which makes them too likely beside other scripts.
+CLASS_SIZES = {"あ": 83, "ア": 86, "漢": 3000, "、": 60, "！": 90, "가": 2000, "֐": 5000, "㐀": 500, "\U0001f680": 1000}
 LOST = "�"
 KNOWN_RUNS = 200_000
 
@@ -54,7 +55,7 @@ RUN = re.compile(r"[^\x00-\x7f]+")
 MIXED_RUN = re.compile(r"[^\x00-\x7f](?:[@-~]{0,2}[^\x00-\x7f])+[@-~]?")
 #: Lost characters and control characters are no letters of clean text.
 NOT_CLEAN = re.compile(f"[\x80-\x9f{LOST}]")
-REFERENCE = re.compile(r"&[A-Za-z][A-Za-z0-9]{1,7};")
+REFERENCE = re.compile(r"&[A-Za-z][A-Za-z0-9]*;")
 
 
 class Pages:
@@ -106,6 +107,8 @@ class Pages:
         if k < len(self.single):
             w, r = self.single[k]
             return f"{PAGES[r]} as {PAGES[w]}"
+        if k == self.learned:
+            return "learned"
         k -= len(self.single)
         return f"{WIDE[k // len(PAGES)]} as {PAGES[k % len(PAGES)]}"
 
@@ -152,15 +155,18 @@ class Pages:
     def peel(self, run: str, w: int, partly: bool = False) -> str | None:
         """``run`` without all its layers, the outer one read as page ``w``, inner ones as the first page or ``w``; None if there is none."""
         text = self.layer(run, w, partly)
-        for _ in range(DEPTH - 1):
-            if text is None or len(text) < 2:
-                break
+        while text is not None and len(text) > 1:  # each layer is shorter than the one around it
             inner = next((x for v in dict.fromkeys((0, w)) if (x := RUN.sub(lambda m: self.layer(m.group(), v, partly) or m.group(), text)) != text), None)  # noqa: B023
             if inner is None:
                 break
             text = inner
         return text
 
+    @property
+    def learned(self) -> int:
+        """The number of the swap that stands for a source's learned mapping."""
+        return len(self.single) + len(WIDE) * len(PAGES)
+
     def wide_candidates(self, run: str, right: str = "", partly: bool = True) -> list[tuple[int, str]]:
         """Pages of several bytes a letter that may have been read as single bytes to make ``run``, with what it was."""
         out = []
@@ -201,18 +207,25 @@ def kana(text: str) -> bool:
     return sum("\u3040" <= c < "\u30ff" for c in text) * 5 >= len(text)
 
 
+def plain_word(text: str) -> bool:
+    """Whether ``text`` is written like a word of a small alphabet other than Latin: letters only, and capitals only at its start or throughout."""
+    return len(text) > 2 and all("\u0370" <= c < "\u0600" for c in text) and text.isalpha() and (text[1:].islower() or text.isupper())
+
+
 @cache
 def shared_pages() -> Pages:
     return Pages()
 
 
 def symbol(c: str) -> str:
-    """The letter of the bigram model that stands for a character: digits, blanks and the large scripts are classes, so the alphabet is bounded."""
+    """The letter of the bigram model that stands for a character: digits, blanks and the large scripts are classes, so the alphabet is bounded (some 3,400 symbols)."""
     o = ord(c)
     if o < 128:
         return "0" if c.isdigit() else " " if c.isspace() or o < 32 else c
     if o < 0x2E80:
-        return c if o < 0x0590 or o >= 0x1E00 else "֐"
+        if o < 0x0700 or 0x0E00 <= o < 0x0E80 or 0x1E00 <= o < 0x2000:
+            return c
+        return "֐" if o < 0x1E00 else c if o < 0x2300 or 0x2500 <= o < 0x2600 else chr(o & ~0x7F)
     if o < 0x3040:
         return "、"
     if o < 0x30A0:
@@ -284,11 +297,23 @@ def runs(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+class Known:
+    """What is known of a source: the weights of swaps, and the learned mapping."""
+
+    def __init__(self, weights: dict[int, float], mapping: dict[str, str]):
+        self.weights, self.mapping = weights, mapping
+        self.table = {ord(c): x for c, x in mapping.items()}
+        self.back = {x: c for c, x in mapping.items()}
+
+
+NOTHING = Known({}, {})
+
+
 class Judge:
     """The E step for one document: scores of its runs under the present model."""
 
-    def __init__(self, pages: Pages, bigrams: Bigrams, weights: dict[str, dict[int, float]]):
-        self.pages, self.bigrams, self.weights = pages, bigrams, weights
+    def __init__(self, pages: Pages, bigrams: Bigrams):
+        self.pages, self.bigrams = pages, bigrams
         self.known: dict[str, dict[int, tuple[float, str]]] = {}
         self.gains: dict[str, np.ndarray] = {}
 
@@ -325,8 +350,8 @@ class Judge:
                     if x is None:
                         x = scores[text] = self.bigrams.score(left + symbols(text) + right) - own
                     odds = x + WIDE_ODDS if k >= wide else x
-                    if k >= wide + len(PAGES):
-                        odds -= sum(math.log(CLASS_SIZES.get(c, 1)) for c in symbols(text))
+                    if k >= wide:
+                        odds -= sum(math.log(CLASS_SIZES.get(c, 1)) for c in symbols(text)) - sum(math.log(CLASS_SIZES.get(c, 1)) for c in symbols(run))
                     if odds > had.get(k, (0.0,))[0]:
                         had[k] = (odds, text)
             if len(self.known) >= KNOWN_RUNS:
@@ -334,9 +359,19 @@ class Judge:
             self.known[unit] = had
         return had
 
-    def document(self, source: str, units: list[str]) -> tuple[float, int, float, list[dict[int, tuple[float, str]]]]:
+    def learned_odds(self, known: Known, unit: str) -> tuple[float, str] | None:
+        text = unit[1:-1].translate(known.table)
+        if text == unit[1:-1]:
+            return None
+        gain = self.bigrams.score(unit[0] + symbols(text) + unit[-1]) - self.bigrams.score(unit[0] + symbols(unit[1:-1]) + unit[-1])
+        return (gain, text) if gain > 0 else None
+
+    def document(self, known: Known, units: list[str]) -> tuple[float, int, float, list[dict[int, tuple[float, str]]]]:
         """Log odds of the best swap, the swap (-1: none fits), the share of runs it spoiled, and the odds of each run."""
         per_run = [self.odds(u) for u in units]
+        if known.table:
+            more = [self.learned_odds(known, u) for u in units]
+            per_run = [found | {self.pages.learned: x} if x else found for found, x in zip(per_run, more)]
         sums: dict[int, list[float]] = {}
         for found in per_run:
             for k, (x, _) in found.items():
@@ -344,12 +379,11 @@ class Judge:
                 row = sums.setdefault(k, [0.0] * len(SHARES))
                 for i, share in enumerate(SHARES):
                     row[i] += math.log(1 - share + share * gain) - math.log(1 - share)
-        weights = self.weights.get(source) or self.weights.get("", {})
         best, swap, part = -math.inf, -1, SHARES[0]
         for k, row in sums.items():
             each = [g + len(units) * math.log(1 - share) for g, share in zip(row, SHARES)]
             top = max(each)
-            value = top + math.log(sum(math.exp(e - top) for e in each) / len(SHARES)) + math.log(max(weights.get(k, 0.0), LEAST_WEIGHT))
+            value = top + math.log(sum(math.exp(e - top) for e in each) / len(SHARES)) + math.log(max(known.weights.get(k, 0.0), LEAST_WEIGHT))
             if value > best:
                 best, swap, part = value, k, SHARES[each.index(top)]
         return best, swap, part, per_run
@@ -381,99 +415,166 @@ def document_runs(documents: DataFrame, key: str, text: str, source: Column) ->
     return documents.select(F.col(key).cast("long"), F.coalesce(source, F.lit("")), F.col(text)).filter(F.col(text).isNotNull()).mapInArrow(run, RUNS_SCHEMA)
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, str, list[str]]]:
-    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+#: What is known of a source: swaps and their weights, symbols and their letters. Its documents carry it as one text.
+KNOWN = "`_swaps` array<int>, `_weights` array<double>, `_symbols` string, `_letters` string"
+
+
+def _known(told: str | None) -> Known:
+    said = json.loads(told) if told else {}
+    return Known(dict(zip(said.get("_swaps", ()), said.get("_weights", ()))), dict(zip(said.get("_symbols", ""), said.get("_letters", ""))))
 
 
-STATS_SCHEMA = "`kind` string, `a` string, `b` string, `c` string, `n` double"
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, str, list[str], Known]]:
+    """Documents with what is known of their sources; columns ``_id, _source, _runs`` (or another) and ``_known``."""
+    seen: dict[str | None, Known] = {}
+    for i, source, units, told in zip(*(batch.column(c).to_pylist() for c in range(4))):
+        known = seen.get(told)
+        if known is None:
+            known = seen[told] = _known(told)
+        yield i, source, units, known
+
+
+STATS_SCHEMA = "`kind` string, `a` string, `b` string, `n` double"
+#: Counts a task holds before it hands them on; they are added up afterwards, so this bounds memory only.
+HELD_COUNTS = 500_000
 
 
 class Model:
-    """What the iterations learned: bigrams, the swaps' weights by source, and the letters of the symbols by source and swap."""
+    """What the iterations learned: bigrams, and a table of the sources (``_source`` and the columns of ``KNOWN``)."""
+
+    def __init__(self, bigrams: dict[tuple[str, str], float], sources: DataFrame):
+        self.bigrams, self.sources = bigrams, sources
+
+    def told(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``_known``, what is known of each row's ``_source``."""
+        right = broadcast_if_small(self.sources, MAX_BROADCAST_SOURCES)
+        right = right.select(F.col("_source").alias("_named"), F.to_json(F.struct("_swaps", "_weights", "_symbols", "_letters")).alias("_known"))
+        return df.join(right, F.col("_source") == F.col("_named"), "left").drop("_named")
+
+
+MAX_BROADCAST_SOURCES = 20_000
+
 
-    def __init__(self, bigrams: dict[tuple[str, str], float], weights: dict[str, dict[int, float]], letters: dict[tuple[str, int], dict[str, str]]):
-        self.bigrams, self.weights, self.letters = bigrams, weights, letters
+def _no_sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], f"`_source` string, {KNOWN}")
+
+
+def _pass(found_runs: DataFrame, model: Model | None, own: bool = False, without: bool = False) -> tuple[DataFrame, dict[tuple[str, str], float]]:
+    """One pass that sums expected counts: the table of sums, and the bigrams. ``own``: those of each source besides. ``without``: what learned mappings would change says nothing of clean text."""
+    spark = found_runs.sparkSession
+    sent = spark.sparkContext.broadcast(model.bigrams if model else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages = shared_pages()
+        judge = Judge(pages, Bigrams(sent.value)) if sent.value is not None else None
+        counts: Counter[tuple[str, str, str]] = Counter()
+        kept: dict[str, bool] = {}
+        #: how often each run stands in clean text (of a source, where those are wanted); its bigrams are counted once for all
+        clean_units: dict[tuple[str, str], float] = {}
+
+        def count_bigrams() -> None:
+            for (source, unit), n in clean_units.items():
+                row = unit[0] + symbols(unit[1:-1]) + unit[-1]
+                for a, b in zip(row, row[1:]):
+                    counts["pair", a, b] += n
+                    if own:
+                        counts["own", source, a + b] += n
+            clean_units.clear()
+
+        def told() -> pa.RecordBatch:
+            table = [(kind, a, b, n) for (kind, a, b), n in counts.items()]
+            counts.clear()
+            columns = list(zip(*table)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 3 + [pa.float64()])], names=["kind", "a", "b", "n"])
+
+        for batch in batches:
+            for _, source, units, known in _rows(batch):
+                counts["swap", source, "-2"] += 1
+                chance, swap, share, per_run = 0.0, -1, 0.0, []
+                if judge:
+                    value, swap, share, per_run = judge.document(known, units)
+                    chance = 1 / (1 + math.exp(-max(min(value, 30.0), -30.0)))
+                    counts["swap", source, str(swap)] += chance
+                for j, unit in enumerate(units):
+                    clean = 1.0
+                    if judge is None:  # to begin with, whatever could be a wide page read as single bytes says nothing of clean text
+                        if unit not in kept:
+                            if len(kept) >= KNOWN_RUNS:
+                                kept.clear()
+                            kept[unit] = plain_word(unit[1:-1]) or not pages.wide_candidates(unit[1:-1], unit[-1], partly=False)
+                        clean = float(kept[unit])
+                    elif without and known.table and unit[1:-1].translate(known.table) != unit[1:-1]:
+                        clean = 0.0
+                    elif swap in per_run[j]:
+                        gain = share * math.exp(min(per_run[j][swap][0], 30.0))
+                        clean = 1 - chance * gain / (gain + 1 - share)
+                    if clean > 0.01 and not NOT_CLEAN.search(unit):
+                        place = source if own else "", unit
+                        clean_units[place] = clean_units.get(place, 0.0) + clean
+            if len(clean_units) >= KNOWN_RUNS:
+                count_bigrams()
+            if len(counts) >= HELD_COUNTS:
+                yield told()
+        count_bigrams()
+        yield told()
+
+    rows = (model or Model({}, _no_sources(spark))).told(found_runs).select("_id", "_source", "_runs", "_known")
+    sums = materialize(rows.mapInArrow(run, STATS_SCHEMA).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")), "expected-counts")
+    bigrams = {(r["a"], r["b"]): r["n"] for r in sums.filter("kind = 'pair'").collect()}  # the alphabet bounds them
+    return sums, bigrams
+
+
+def _weights(sums: DataFrame) -> DataFrame:
+    """``_source``, ``_swaps``, ``_weights``: the part of the source's documents that each swap spoiled."""
+    swaps = sums.filter("kind = 'swap'").select(F.col("a").alias("_source"), F.col("b").cast("int").alias("k"), "n")
+    whole = swaps.groupBy("_source").agg(F.sum(F.when(F.col("k") == -2, F.col("n"))).alias("all"), F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "n"))).alias("s"))
+    return whole.select("_source", F.transform("s", lambda x: x["k"]).alias("_swaps"), F.transform("s", lambda x: x["n"] / F.col("all")).alias("_weights"))
+
+
+def _mappings(sums: DataFrame, bigrams: dict[tuple[str, str], float]) -> DataFrame:
+    """``_source``, ``_symbols``, ``_letters`` of the sources that show a cipher. A source's pairs, not its rows, are one group, and the alphabet bounds them."""
+    sent = sums.sparkSession.sparkContext.broadcast((bigrams, margins(bigrams)))
+
+    def fit(table: pa.Table) -> pa.Table:
+        pages = shared_pages()
+        pairs = {(b[0], b[1]): n for b, n in zip(table.column("b").to_pylist(), table.column("n").to_pylist())}
+        letters = [{c: b for c, b in own.items() if c.isprintable()} for own in pages.own_byte]
+        rows = [{b: c for b, c in enumerate(row) if b >= 128} for row in pages.letters]
+        mapping = learn_cipher(pairs, *sent.value, letters, rows)
+        names = ["_source", "_symbols", "_letters"]
+        return pa.table([pa.array(x, pa.string()) for x in ([table.column("a")[0].as_py()], ["".join(mapping)], ["".join(mapping.values())])], names=names)
+
+    own = sums.filter("kind = 'own'").select("a", "b", "n").groupBy("a").applyInArrow(fit, "`_source` string, `_symbols` string, `_letters` string")
+    return materialize(own.filter("_symbols != ''"), "mappings")
+
+
+def _sources(sums: DataFrame, mappings: DataFrame | None) -> DataFrame:
+    both = _weights(sums)
+    none = F.lit(None).cast("string")
+    both = both.withColumns({"_symbols": none, "_letters": none}) if mappings is None else both.join(mappings, "_source", "left")
+    return materialize(both.select("_source", "_swaps", "_weights", "_symbols", "_letters"), "sources")
 
 
 def learn(found_runs: DataFrame, steps: int = STEPS) -> Model:
-    """Expectation-maximization over all runs of all documents. Each step is one pass that sums expected counts; alphabet, pages and sources bound what is gathered."""
-    sc = found_runs.sparkSession.sparkContext
+    """Expectation-maximization over all runs of all documents. Where a source shows a cipher that no listed swap explains, its mapping takes part in two further steps."""
     model: Model | None = None
-    for _ in range(steps):
-        sent = sc.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            pages, now = Pages(), sent.value
-            judge = Judge(pages, Bigrams(now.bigrams), now.weights) if now else None
-            pairs: Counter[tuple[str, str]] = Counter()
-            swaps: Counter[tuple[str, int]] = Counter()
-            letters: Counter[tuple[str, int, str]] = Counter()
-            wide = len(pages.single)
-            kept: dict[str, bool] = {}
-            #: how often each run stands in clean text; its bigrams are counted once for all
-            clean_units: dict[str, float] = {}
-
-            def count_bigrams() -> None:
-                for unit, n in clean_units.items():
-                    row = unit[0] + symbols(unit[1:-1]) + unit[-1]
-                    for pair in zip(row, row[1:]):
-                        pairs[pair] += n
-                clean_units.clear()
-
-            for batch in batches:
-                for _, source, units in _rows(batch):
-                    swaps[source, -2] += 1
-                    chance, swap, share, per_run = 0.0, -1, 0.0, []
-                    if judge:
-                        value, swap, share, per_run = judge.document(source, units)
-                        chance = 1 / (1 + math.exp(-max(min(value, 30.0), -30.0)))
-                        swaps[source, swap] += chance
-                    for j, unit in enumerate(units):
-                        clean = 1.0
-                        if judge is None:  # to begin with, whatever could be a wide page read as single bytes says nothing of clean text
-                            if unit not in kept:
-                                if len(kept) >= KNOWN_RUNS:
-                                    kept.clear()
-                                kept[unit] = not pages.wide_candidates(unit[1:-1], unit[-1], partly=False)
-                            clean = float(kept[unit])
-                        elif swap in per_run[j]:
-                            gain = share * math.exp(min(per_run[j][swap][0], 30.0))
-                            spoiled = chance * gain / (gain + 1 - share)
-                            clean = 1 - spoiled
-                            if swap < wide and spoiled > 0.01:
-                                for c, x in zip(unit[1:-1], per_run[j][swap][1]):
-                                    letters[source, swap, c + x] += spoiled
-                        if clean > 0.01 and not NOT_CLEAN.search(unit):
-                            clean_units[unit] = clean_units.get(unit, 0.0) + clean
-                if len(clean_units) >= KNOWN_RUNS:
-                    count_bigrams()
-            count_bigrams()
-            table = [("pair", a, b, None, n) for (a, b), n in pairs.items()]
-            table += [("swap", s, str(k), None, n) for (s, k), n in swaps.items()]
-            table += [("letter", s, str(k), x, n) for (s, k, x), n in letters.items()]
-            columns = list(zip(*table)) or [[]] * 5
-            kinds = [pa.string()] * 4 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["kind", "a", "b", "c", "n"])
-
-        sums = found_runs.mapInArrow(run, STATS_SCHEMA).groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
-        bigrams = {(r["a"], r["b"]): r["n"] for r in sums if r["kind"] == "pair"}
-        swaps = {(r["a"], int(r["b"])): r["n"] for r in sums if r["kind"] == "swap"}
-        weights: dict[str, dict[int, float]] = {}
-        for (s, k), n in swaps.items():
-            if k >= 0:
-                weights.setdefault(s, {})[k] = n / swaps[s, -2]
-        best: dict[tuple[str, int], dict[str, tuple[float, str]]] = {}
-        for r in sums:
-            if r["kind"] == "letter" and r["n"] >= 0.5:
-                own = best.setdefault((r["a"], int(r["b"])), {})
-                own[r["c"][0]] = max(own.get(r["c"][0], (0.0, "")), (r["n"], r["c"][1]))
-        model = Model(bigrams, weights, {k: {c: x for c, (_, x) in own.items()} for k, own in best.items()})
-        sent.unpersist()
+    for step in range(steps):
+        sums, bigrams = _pass(found_runs, model, own=step == steps - 1)
+        model = Model(bigrams, _sources(sums, None))
+    mappings = _mappings(sums, bigrams)
+    if mappings.isEmpty():
+        return model
+    model = Model(bigrams, _sources(sums, mappings))
+    for without in (True, False):
+        sums, bigrams = _pass(found_runs, model, without=without)
+        model = Model(bigrams, _sources(sums, mappings))
     return model
 
 
-def _exact(pages: Pages, swap: int, run: str, text: str) -> bool:
+def _exact(pages: Pages, known: Known, swap: int, run: str, text: str) -> bool:
     """Whether ``text``, written as its page and read as the wrong one, gives ``run`` again. Peeled layers are checked by the decoders themselves."""
+    if swap == pages.learned:
+        return all(known.back.get(x, x) == c for c, x in zip(run, text))
     if swap >= len(pages.single):
         return True
     w, r = pages.single[swap]
@@ -481,14 +582,14 @@ def _exact(pages: Pages, swap: int, run: str, text: str) -> bool:
     return all(b < 256 for b in raw) and "".join(pages.letters[w][b] for b in raw) == run
 
 
-def _verdict(judge: Judge, source: str, units: list[str]) -> tuple[float, int, list[str | None]] | None:
+def _verdict(judge: Judge, known: Known, units: list[str]) -> tuple[float, int, list[str | None]] | None:
     """The odds, swap and restored runs (None: as it stands) of a document with a spoiled passage; None for others."""
     lost = any(LOST in u for u in units)
-    value, swap, share, per_run = judge.document(source, units)
+    value, swap, share, per_run = judge.document(known, units)
     fixed: list[str | None] = [None] * len(units)
     if value >= math.log(ODDS):
         for j, found in enumerate(per_run):
-            if swap in found and share * math.exp(min(found[swap][0], 30.0)) > (1 - share) and _exact(judge.pages, swap, units[j][1:-1], found[swap][1]):
+            if swap in found and share * math.exp(min(found[swap][0], 30.0)) > (1 - share) and _exact(judge.pages, known, swap, units[j][1:-1], found[swap][1]):
                 fixed[j] = found[swap][1]
     if lost or any(f is not None for f in fixed):
         return value, swap if any(f is not None for f in fixed) else -1, fixed
@@ -497,15 +598,14 @@ def _verdict(judge: Judge, source: str, units: list[str]) -> tuple[float, int, l
 
 def garbled_documents(found_runs: DataFrame, model: Model) -> DataFrame:
     """``_id``, ``_source``, ``swap`` (null if only lost characters tell), ``log_odds``, ``n_restorable`` runs and ``n_lost`` characters."""
-    sent = found_runs.sparkSession.sparkContext.broadcast(model)
+    sent = found_runs.sparkSession.sparkContext.broadcast(model.bigrams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = sent.value
-        judge = Judge(Pages(), Bigrams(now.bigrams), now.weights)
+        judge = Judge(shared_pages(), Bigrams(sent.value))
         for batch in batches:
             out = []
-            for i, source, units in _rows(batch):
-                said = _verdict(judge, source, units)
+            for i, source, units, known in _rows(batch):
+                said = _verdict(judge, known, units)
                 if said:
                     value, swap, fixed = said
                     out.append((i, source, judge.pages.name(swap) if swap >= 0 else None, value if swap >= 0 else None, sum(f is not None for f in fixed), sum(u[1:-1].count(LOST) for u in units)))
@@ -513,21 +613,18 @@ def garbled_documents(found_runs: DataFrame, model: Model) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["_id", "_source", "swap", "log_odds", "n_restorable", "n_lost"])
 
-    return found_runs.mapInArrow(run, "`_id` bigint, `_source` string, `swap` string, `log_odds` double, `n_restorable` int, `n_lost` int")
+    rows = model.told(found_runs).select("_id", "_source", "_runs", "_known")
+    return rows.mapInArrow(run, "`_id` bigint, `_source` string, `swap` string, `log_odds` double, `n_restorable` int, `n_lost` int")
 
 
-def _restore(judge: Judge, letters: dict[tuple[str, int], dict[str, str]], source: str, text: str) -> tuple[str, str | None, int, int] | None:
+def _restore(judge: Judge, known: Known, text: str) -> tuple[str, str | None, int, int] | None:
     whole = resolved(text)
     places = runs(whole)
-    units = _units(whole)
-    said = _verdict(judge, source, units)
+    said = _verdict(judge, known, _units(whole))
     if not said:
         return None
     _, swap, fixed = said
-    table = None
-    if 0 <= swap < len(judge.pages.single):
-        learned = letters.get((source, swap)) or letters.get(("", swap), {})
-        table = judge.pages.tables[swap] | {ord(c): x for c, x in learned.items() if judge.pages.tables[swap].get(ord(c)) == x}
+    table = known.table if swap == judge.pages.learned else judge.pages.tables[swap] if 0 <= swap < len(judge.pages.single) else None
     parts, at = [], 0
     for (a, b), f in zip(places, fixed):
         parts.append(whole[at:a])
@@ -540,24 +637,24 @@ def _restore(judge: Judge, letters: dict[tuple[str, int], dict[str, str]], sourc
 
 def restore_documents(documents: DataFrame, key: str, text: str, source: Column, model: Model) -> DataFrame:
     """Documents with a spoiled passage: ``key``, ``swap``, ``n_restored`` runs, ``n_lost`` characters, and ``restored``, the text with every run restored that can be."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    sent = documents.sparkSession.sparkContext.broadcast(model.bigrams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = sent.value
-        judge = Judge(Pages(), Bigrams(now.bigrams), now.weights)
+        judge = Judge(shared_pages(), Bigrams(sent.value))
         for batch in batches:
             out = []
-            for i, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for i, _, t, known in _rows(batch):
                 if t.isascii() and "&" not in t:
                     continue
-                fixed = _restore(judge, now.letters, s, t)
+                fixed = _restore(judge, known, t)
                 if fixed:
                     out.append((i, fixed[1], fixed[2], fixed[3], fixed[0]))
             columns = list(zip(*out)) or [[]] * 5
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "swap", "n_restored", "n_lost", "restored"])
 
-    rows = documents.select(F.col(key).cast("long"), F.coalesce(source, F.lit("")), F.col(text)).filter(F.col(text).isNotNull())
+    rows = documents.select(F.col(key).cast("long").alias("_id"), F.coalesce(source, F.lit("")).alias("_source"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
+    rows = model.told(rows).select("_id", "_source", "_text", "_known")
     return rows.mapInArrow(run, "`key` bigint, `swap` string, `n_restored` int, `n_lost` int, `restored` string").withColumnRenamed("key", key)
 
 
@@ -568,7 +665,5 @@ def find_garbled(documents: DataFrame, key: str = "doc_id", text: str = "text",
     table gives none. Rare characters that were decoded rightly are no case, as nothing they could stand for is likelier in their place.
     """
     found = materialize(document_runs(documents, key, text, F.col("source") if source is None else source), "runs")
-    if found.select("_source").distinct().limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        found = found.withColumn("_source", F.lit(""))
     model = learn(found, steps)
     return garbled_documents(found, model).withColumnRenamed("_id", key).withColumnRenamed("_source", "source"), model
