@@ -5,6 +5,8 @@ is needed: their number is bounded by the alphabet, however many texts a source
 chance that a letter is written as a symbol, a pair of symbols has probability ``(E P E')``; the E step shares each pair's count out to pairs of letters, the M step sums the
 shares. ASCII stands for itself. Starts are the public pages, runs of the alphabet at each distance from the byte numbers, and no knowledge at all; the likeliest end is kept,
 so the result may leave the page it started from.
+
+A source that holds more than half of all text has no mapping: there is too little other text to tell what is unlikely in it.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ def unexplained(pairs: Pairs, clean: Pairs, whole: Margins) -> Pairs:
     """A source's pairs that all other text makes no likelier than chance: ``clean`` (and its margins ``whole``) less what the source itself gave it."""
     own = margins(pairs)
     total = max(whole[2] - own[2], 0.0)
+    if total < own[2]:  # a source of most of the text: what is usual can't be told from what is its own
+        return {}
     out = {}
     for (a, b), n in pairs.items():
         # the count to expect if neighbours were independent; letters that other text hardly has count as chance
@@ -180,4 +184,5 @@ def learn_cipher(pairs: Pairs, clean: Pairs, whole: Margins, pages: list[dict[st
     used = set(learned.values())
     usual = [(x, lift(a, b)) for (a, b), x in base.items() if a in li and b in li and (a in used or b in used)]
     mean = lambda rows: sum(x * y for x, y in rows) / max(sum(x for x, _ in rows), 1e-12)
-    return learned if sum(x for x, _ in changed) >= LEAST_PAIRS and mean(changed) >= mean(usual) - FIT else {}
+    enough = LEAST_PAIRS <= sum(x for x, _ in changed) <= sum(x for x, _ in usual)  # clean text must show these letters more often than the cipher does
+    return learned if enough and mean(changed) >= mean(usual) - FIT else {}
