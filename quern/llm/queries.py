@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.encodings import find_garbled, restore_documents
-from quern.llm.percentiles import merge_states, percentiles, percentiles_of_states, value_counts
 from quern.llm.mixing import mix_sources, source_name
-from quern.llm.tokens import count_tokens, encode_corpus
+from quern.llm.percentiles import merge_states, percentiles, percentiles_of_states, value_counts
+from quern.llm.tokens import Merges, count_tokens, encode_corpus
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -52,6 +54,20 @@ def p6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(_table(spark, folder, "documents"))
 
 
+def p6_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """The bytes that each document's ids stand for, which are those of its text."""
+    merges = spark.sparkContext.broadcast(Merges.load())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = merges.value.sizes()
+        for batch in batches:
+            ids, ends = np.asarray(batch.column(1).flatten()), np.asarray(batch.column(1).offsets, dtype=np.int64)
+            upto = np.concatenate([[0], np.cumsum(size[ids])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(upto[ends[1:] - ends[0]] - upto[ends[:-1] - ends[0]])], names=["doc_id", "n_bytes"])
+
+    return encode_corpus(_table(spark, folder, "documents")).mapInArrow(run, "doc_id long, n_bytes long")
+
+
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))[0]
 
@@ -84,7 +100,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p1_exact_percentiles, p6_ids, p6_token_counts, p7_mix, p7_shares, p7_kept, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p1_exact_percentiles, p6_ids, p6_token_counts, p6_bytes, p7_mix, p7_shares, p7_kept, p8_found, p8_restored)}
 
 
 def _picked(states: str, keys: str, percents: list[int]) -> str:
@@ -104,6 +120,7 @@ _NAMED = "lower(regexp_replace(source, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_bytes": "select doc_id, coalesce(octet_length(encode(text)), 0)::bigint as n_bytes from documents",
         "p7_kept": f"""with docs as (select {_NAMED} as source, count(*) as n_docs from documents group by all),
             goals as (select {_NAMED} as source, sum(target_share) as target_share, min(max_repeats)::bigint as max_repeats from mix_targets group by all)
             select source, round(coalesce(target_share, 0), 9) as target_share, max_repeats, coalesce(n_docs, 0) as n_docs, true as cap_kept, true as target_met from docs full join goals using (source)""",

@@ -61,6 +61,15 @@ class Merges:
         return Merges([vocabulary[letter[b]] for b in range(256)], pairs)
 
 
+    def sizes(self) -> np.ndarray:
+        """The number of bytes that each id stands for."""
+        out = np.zeros(max([*self.byte_ids, *self.pairs.values()]) + 1, np.int64)
+        out[self.byte_ids] = 1
+        for pair, made in self.pairs.items():  # in order of merges, so both parts are known
+            out[made] = out[pair >> 32] + out[pair & 0xFFFFFFFF]
+        return out
+
+
 def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all words, one after the other, and the number of ids of each word."""
     byte_ids, pairs = merges.byte_ids, merges.pairs
@@ -198,7 +207,7 @@ def _encoded(df: DataFrame, text: str, keep: list[str], out: str, kind: str, pat
         at = left.column(AT).combine_chunks()
         numbers, ends = np.asarray(at.flatten()), np.asarray(at.offsets, dtype=np.int64)
         ends = ends - ends[0]
-        lists = right.column("ids").combine_chunks().flatten() if right.num_rows else None  # a block without any word
+        lists = right.column("ids").combine_chunks().flatten() if "ids" in right.column_names and right.num_rows else None  # a block without any word
         if lists is None:
             column = pa.array([0] * left.num_rows, pa.int64()) if kind == "count" else pa.array([[]] * left.num_rows, pa.list_(pa.int32()))
         elif kind == "count":
