@@ -46,6 +46,10 @@ def less(a: Column, b: Column) -> Column:
     return indicator(~F.isnan(a) & ~F.isnan(b) & (a < b))
 
 
+def greater(a: Column, b: Column) -> Column:
+    return less(b, a)
+
+
 def less_equal(a: Column, b: Column) -> Column:
     return indicator(~F.isnan(a) & ~F.isnan(b) & (a <= b))
 

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.matrix import gram
+from quern.functions.numeric import hash_uniform
+from quern.operators.matrix import gathered, gram_arrays, summed
 
 #: Columns up to which t(X) X is gathered; above, each step of the solver passes over the data.
 GRAM_COLUMNS = 4000
@@ -23,22 +24,8 @@ def _stack(column: pa.Array) -> np.ndarray:
 
 
 def _sum_pass(rows: DataFrame, columns: list, partial) -> np.ndarray:
-    """The sum of ``partial(arrays)`` over all batches: a vector whose length doesn't depend on the data."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                part = partial(batch)
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["p", "s"])
-
-    got = rows.select(*columns).mapInArrow(run, "p long, s double").groupBy("p").agg(F.sum("s").alias("s")).collect()
-    out = np.zeros(len(got))
-    for r in got:
-        out[r["p"]] = r["s"]
-    return out
+    """The sum of ``partial(batch)`` over all batches: a vector whose length doesn't depend on the data."""
+    return gathered(summed(rows, columns, partial))
 
 
 def lm_cg(rows: DataFrame, y: str, reg: float = 1e-12, tol: float = 1e-7, max_iter: int | None = None) -> np.ndarray:
@@ -52,12 +39,7 @@ def lm_cg(rows: DataFrame, y: str, reg: float = 1e-12, tol: float = 1e-7, max_it
     m = first["m"]
     data = rows.select("v", F.col(y).cast("double").alias("y"))
     if m <= GRAM_COLUMNS:
-        g, xty = np.zeros((m, m)), np.zeros(m)
-        for r in gram(data, "y").collect():
-            if r["k"] == 0:
-                xty[r["j"] - 1] = r["v"]
-            else:
-                g[r["j"] - 1, r["k"] - 1] = r["v"]
+        g, xty = gram_arrays(data, m, "y")
         times = lambda p: g @ p
     else:
         both = [F.col("v"), F.col("y")]
@@ -123,22 +105,42 @@ def lloyd_step(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, float]
     return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres), float(s[-1])
 
 
+#: Rounds of the seeding, and points drawn in each for every centre wanted.
+SEED_ROUNDS, OVERSAMPLING = 4, 2
+
+
 def first_centres(rows: DataFrame, k: int, seed: int) -> np.ndarray:
-    """k-means++ seeding with hashed draws: each further centre is drawn with odds by its squared distance to the nearest one so far."""
+    """k-means|| seeding with hashed draws: a few rounds, each of which draws points with odds by their squared distance to the nearest one so far; the points drawn
+    (some ``SEED_ROUNDS * OVERSAMPLING * k``, whatever the number of rows) are then weighted by the rows nearest to them, and k of them are drawn by k-means++ on the driver.
+    """
     key = F.xxhash64(F.lit(seed).cast("long"), F.col("i"))
     start = rows.orderBy(key, "i").select("v").first()
     if start is None:
         raise ValueError("no rows to cluster")
-    centres = [np.array(start["v"], dtype=float)]
-    while len(centres) < k:
-        d = assign(rows, np.array(centres), ["i", "v"])
-        # the smallest of exponentials with rate d is a draw by weight d
-        u = (F.xxhash64(F.lit(seed + len(centres)).cast("long"), F.col("i")).bitwiseAND(F.lit(2**53 - 1)) + 1).cast("double") / F.lit(float(2**53))
-        pick = d.filter("d > 0").orderBy(-F.log(u) / F.col("d"), "i").select("v").first()
-        if pick is None:
+    points = np.array([start["v"]], dtype=float)
+    for turn in range(1, SEED_ROUNDS + 1):
+        near = assign(rows, points, ["i", "v"])
+        cost = near.agg(F.sum("d")).first()[0]
+        if not cost:
+            break
+        u = hash_uniform(seed + turn, F.col("i"))
+        drawn = near.filter(u * F.lit(float(cost)) < F.col("d") * F.lit(float(OVERSAMPLING * k))).orderBy("i").select("v").collect()
+        if drawn:
+            points = np.concatenate([points, np.array([r["v"] for r in drawn], dtype=float)])
+    points = np.unique(points, axis=0)
+    if len(points) <= k:
+        return points
+    weights = np.zeros(len(points))
+    for r in assign(rows, points).groupBy("y").count().collect():  # a row a point
+        weights[r["y"] - 1] = r["count"]
+    draw = np.random.default_rng(seed)
+    chosen = [int(draw.choice(len(points), p=weights / weights.sum()))]
+    while len(chosen) < k:
+        odds = weights * _distances(points, points[chosen]).min(axis=1)
+        if not odds.sum():
             break
-        centres.append(np.array(pick["v"], dtype=float))
-    return np.array(centres)
+        chosen.append(int(draw.choice(len(points), p=odds / odds.sum())))
+    return points[chosen]
 
 
 def kmeans(rows: DataFrame, k: int, runs: int = 1, max_iter: int = 30, eps: float = 1e-4, seed: int = 7, centres: np.ndarray | None = None) -> tuple[np.ndarray, DataFrame, float]:
@@ -153,6 +155,7 @@ def kmeans(rows: DataFrame, k: int, runs: int = 1, max_iter: int = 30, eps: floa
             now, cost = new, was
             if done:
                 break
+        cost = float(assign(rows, now).agg(F.sum("d")).first()[0] or 0.0)  # of these centres, not of those before the last step
         if best is None or cost < best[1]:
             best = (now, cost)
     return best[0], assign(rows, best[0]), best[1]
@@ -165,12 +168,7 @@ def pca(rows: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
         raise ValueError("no rows")
     m = first["m"]
     one = rows.select("v", F.lit(1.0).alias("one"))
-    g, sums = np.zeros((m, m)), np.zeros(m)
-    for r in gram(one, "one").collect():
-        if r["k"] == 0:
-            sums[r["j"] - 1] = r["v"]
-        else:
-            g[r["j"] - 1, r["k"] - 1] = r["v"]
+    g, sums = gram_arrays(one, m, "one")
     n = rows.count()
     mean = sums / n
     values, vectors = np.linalg.eigh((g - n * np.outer(mean, mean)) / max(n - 1, 1))

@@ -11,9 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.plans.slices import partitions_of
+
 CHUNK = 65_536
 
 
@@ -147,27 +150,73 @@ def column_sums(rows: DataFrame, m: int) -> DataFrame:
     return rows.select(F.posexplode("v").alias("_p", "x")).groupBy("_p").agg(F.sum("x").alias("v")).select((F.col("_p") + 1).cast("long").alias("j"), "v")
 
 
-def gram(rows: DataFrame, y: str | None = None) -> DataFrame:
-    """``j, k, v`` of t(X) X for row layout; with ``y``, a numeric column, also t(X) y as column 0 (``k`` = 0).
+#: Numbers in a block of a summed vector.
+SUM_BLOCK = 65_536
+
+
+def summed(df: DataFrame, columns: list, partial: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """``b``, ``s``: the sum of ``partial(batch)`` over all batches, as binary blocks ``b`` of doubles. All results of ``partial`` have one length.
 
-    Each task sums products of its batches in one matrix, so what is shuffled is one m x m matrix a task, whatever the number of rows.
+    A task sums its batches before anything is shuffled; the tasks' blocks are added up in two steps, so that no group has more than about the root of their number.
     """
-    columns = [F.col("v").cast("array<double>").alias("v"), (F.col(y).cast("double") if y else F.lit(0.0)).alias("y")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = batch.column(0)
-            x = np.asarray(x.flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            right = np.column_stack([np.asarray(batch.column(1), dtype=np.float64), x])
-            part = x.T @ right
-            total = part if total is None else total + part
+            if batch.num_rows:
+                part = partial(batch)
+                total = part if total is None else total + part
         if total is not None:
-            m = total.shape[0]
-            j, k = np.repeat(np.arange(1, m + 1), m + 1), np.tile(np.arange(m + 1), m)
-            yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(k), pa.array(total.ravel())], names=["j", "k", "v"])
+            total = np.ascontiguousarray(total, dtype=np.float64).ravel()
+            cut = [total[i : i + SUM_BLOCK].tobytes() for i in range(0, len(total), SUM_BLOCK)]
+            task = TaskContext.get().partitionId() % group
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([task] * len(cut), pa.int32()), pa.array(cut, pa.binary())], names=["b", "t", "s"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x) for x in table.column("s").to_pylist())
+        return pa.table([pa.array([table.column("b")[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["b", "t", "s"])
+
+    group = max(int(partitions_of(df) ** 0.5), 1)
+    schema = "b int, t int, s binary"
+    parts = df.select(*columns).mapInArrow(run, schema)
+    return parts.groupBy("b", "t").applyInArrow(add, schema).groupBy("b").applyInArrow(add, schema).select("b", "s")
+
+
+def gathered(blocks: DataFrame) -> np.ndarray:
+    """A summed vector on the driver; empty if there were no rows."""
+    rows = sorted(blocks.collect(), key=lambda r: r["b"])
+    return np.concatenate([np.frombuffer(r["s"]) for r in rows]) if rows else np.zeros(0)
+
+
+def gram_sums(rows: DataFrame, y: str | None = None) -> DataFrame:
+    """t(X) (y, X) for row layout, summed: m x (m + 1) numbers, y first (0 without it)."""
+    columns = [F.col("v").cast("array<double>").alias("v"), (F.col(y).cast("double") if y else F.lit(0.0)).alias("y")]
+
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        x = np.asarray(batch.column(0).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+        out = np.empty((x.shape[1], x.shape[1] + 1))
+        out[:, 0] = x.T @ np.asarray(batch.column(1), dtype=np.float64)
+        out[:, 1:] = x.T @ x
+        return out
+
+    return summed(rows, columns, part)
+
+
+def gram_arrays(rows: DataFrame, m: int, y: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """t(X) X and t(X) y on the driver, m x m and m numbers."""
+    both = gathered(gram_sums(rows, y)).reshape(m, m + 1)
+    return both[:, 1:], both[:, 0]
+
+
+def gram(rows: DataFrame, m: int, y: str | None = None) -> DataFrame:
+    """``j, k, v`` of t(X) X for row layout of ``m`` columns; with ``y``, a numeric column, also t(X) y as column 0 (``k`` = 0)."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                v = np.frombuffer(s)
+                p = np.arange(b * SUM_BLOCK, b * SUM_BLOCK + len(v))
+                yield pa.RecordBatch.from_arrays([pa.array(p // (m + 1) + 1), pa.array(p % (m + 1)), pa.array(v)], names=["j", "k", "v"])
 
-    out = rows.select(*columns).mapInArrow(run, "j long, k long, v double").groupBy("j", "k").agg(F.sum("v").alias("v"))
+    out = gram_sums(rows, y).mapInArrow(cells, "j long, k long, v double")
     return out if y else out.filter("k > 0")

@@ -46,8 +46,9 @@ def result_grid(df: DataFrame, series: str, axis: str, value: Column, groups: li
     twice = rows.groupBy(*groups, series, axis).count().filter("count > 1").limit(1).collect()
     if twice:
         raise DuplicateResult(f"more than one result for {twice[0].asDict()}")
-    labels = rows.groupBy(*groups).agg(F.collect_set(series).alias("_s"), F.collect_set(axis).alias("_a"))
-    grid = labels.select(*groups, F.explode("_s").alias(series), "_a").select(*groups, series, F.explode("_a").alias(axis))
+    # the labels of a group meet by its key: the grid is the result, so this join makes no more rows than that
+    keyed = rows.withColumn("_one", F.lit(1))
+    grid = keyed.select("_one", *groups, series).distinct().join(keyed.select("_one", *groups, axis).distinct(), ["_one", *groups]).drop("_one")
     full = grid.join(rows.withColumn("_here", F.lit(1)), [*groups, series, axis], "left")
     if strict and (gone := full.filter("_here is null").limit(1).collect()):
         raise MissingResult(f"no result for {gone[0].asDict()}")
@@ -59,6 +60,21 @@ def pivoted(grid: DataFrame, groups: list[str], axis: str, labels: list[str]) ->
     return grid.groupBy(*groups).pivot(axis, labels).agg(F.first("value"))
 
 
-def axis_limit(df: DataFrame, value: Column, groups: list[str], headroom: float = 1.18) -> DataFrame:
-    """Groups, ``top`` (the greatest finite value, 1.0 if none) and ``axis_top`` with headroom."""
-    return df.groupBy(*groups).agg(finite_max(value).alias("top")).withColumn("axis_top", F.col("top") * headroom)
+def result_rows(df: DataFrame, mode: str, conf: str, position: str, value: Column, groups: list[str], missing: str = "nan", digits: int = 3) -> DataFrame:
+    """The table of a group's results as it is drawn: groups, ``mode``, and in order of the settings' sizes their names (``confs``) and values (``cells``), as arrays of text.
+
+    A pair of mode and setting that stands twice is an error; ``missing`` stands for those that are null, NaN or not there. Settings that can't be read come last.
+    A row holds a group's settings, so its length is the result's own.
+    """
+    grid = result_grid(df, mode, conf, value, groups)
+    first = df.filter(F.col(conf).isNotNull() & F.col(mode).isNotNull()).groupBy(*groups, conf).agg(F.min(position).alias("_first"))
+    size = conf_bytes(F.col(conf))
+    text = F.when(F.isnan("value"), missing).otherwise(F.round("value", digits).cast(f"decimal(20,{digits})").cast("string"))
+    place = F.struct(size.isNull().alias("n"), size.alias("b"), F.col("_first").alias("f"), F.col(conf).alias("c"), text.alias("t"))
+    rows = grid.join(first, [*groups, conf]).groupBy(*groups, mode).agg(F.array_sort(F.collect_list(place)).alias("_p"))
+    return rows.select(*groups, mode, F.transform("_p", lambda p: p["c"]).alias("confs"), F.transform("_p", lambda p: p["t"]).alias("cells"))
+
+
+def axis_limit(df: DataFrame, value: Column, groups: list[str], headroom: float = 1.18, finite: bool = True) -> DataFrame:
+    """Groups, ``top`` and ``axis_top`` with headroom. ``top`` is the greatest finite value, 1.0 if none; without ``finite`` the plain maximum (null if there is none, NaN above all)."""
+    return df.groupBy(*groups).agg((finite_max(value) if finite else F.max(value)).alias("top")).withColumn("axis_top", F.col("top") * headroom)

@@ -71,7 +71,7 @@ def alias_dictionary(spellings: DataFrame) -> DataFrame:
     known = known_spellings(spellings.sparkSession)
     exact = spellings.join(F.broadcast(known), spellings.spelling == known.known).select("spelling", "unit")
     index = known.filter(F.length("known") >= FUZZY_LETTERS).select("known", "unit", F.size(_grams(F.col("known"))).alias("_n"), F.explode(_grams(F.col("known"))).alias("_gram"))
-    open_ = spellings.join(F.broadcast(known), spellings.spelling == known.known, "left_anti").filter(F.length("spelling").between(FUZZY_LETTERS - 1, 24))
+    open_ = spellings.join(F.broadcast(known), spellings.spelling == known.known, "left_anti").filter(F.length("spelling") >= FUZZY_LETTERS - 1)
     pairs = (
         open_.select("spelling", F.explode(_grams(F.col("spelling"))).alias("_gram"))
         .join(F.broadcast(index), "_gram")

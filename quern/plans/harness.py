@@ -6,7 +6,8 @@ import re
 import threading
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,33 @@ class Outcome:
     error: str = ""
 
 
+#: Settings of the execution modes: all in memory, adaptive with small partitions that spill rather than fail, and the session's own.
+PROFILES: dict[str, dict[str, str]] = {
+    "memory": {"spark.sql.adaptive.enabled": "true", "spark.sql.files.maxPartitionBytes": "268435456"},
+    "out_of_core": {"spark.sql.adaptive.enabled": "true", "spark.sql.files.maxPartitionBytes": "33554432", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16777216", "spark.sql.autoBroadcastJoinThreshold": "-1"},
+    "default": {},
+}
+
+
+@contextmanager
+def profile(spark: SparkSession, name: str) -> Iterator[None]:
+    """Run under the settings of an execution mode; the session's own come back afterwards."""
+    was = {k: spark.conf.get(k, None) for k in PROFILES[name]}
+    try:
+        for k, v in PROFILES[name].items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def explained(df: DataFrame, mode: str = "formatted") -> str:
+    """The plan as text: ``simple``, ``extended``, ``codegen``, ``cost`` or ``formatted``."""
+    jvm = df.sparkSession.sparkContext._jvm
+    return jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
+
 def run_noop(df: DataFrame) -> None:
     """Force every row without keeping any."""
     df.write.format("noop").mode("overwrite").save()

@@ -21,13 +21,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def drop_later(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the driver ends."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps start from files, which outlive any executor. The files go when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, jsc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(place)
+    drop_later(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from quern.functions import labels, numeric
 from quern.operators import generators, learn, results, timeline
 from quern.operators.matrix import Matrix, as_matrix, as_scalar, column_of, column_sums, contingency, gram, matvec
-from quern.operators.tiles import from_tiles, tile_matmul, to_tiles
-from quern.plans.materialize import shared_folder
+from quern.operators.tiles import from_tiles, row_tiles, tile_map, tile_matmul, tile_sum, tile_transpose, tile_with_transposed
+from quern.plans.materialize import drop_later, shared_folder
 from quern.queries.reference_sql import ORACLE  # noqa: F401 - part of this module
-from quern.sources import logs
+from quern.sources import datasets, logs
 from quern.sources.matrices import read_matrix, write_matrix
 from quern.sources.tables import table
 
@@ -103,17 +103,28 @@ def matvec_means(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gram_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return gram(_rows(spark, folder)).select("j", "k", _round(F.col("v"), 6).alias("v"))
+    return gram(_rows(spark, folder), M).select("j", "k", _round(F.col("v"), 6).alias("v"))
 
 
 def tile_gram(spark: SparkSession, folder: str) -> DataFrame:
-    m = _cells(spark, folder)
-    product = tile_matmul(to_tiles(m.t(), 32), to_tiles(m, 32))
+    rows = _rows(spark, folder)
+    tiles = row_tiles(rows, rows.count(), M, 32)
+    product = tile_matmul(tile_transpose(tiles), tiles)
     return from_tiles(product, M, M, 32).df.select(F.col("i").alias("j"), F.col("j").alias("k"), _round(F.col("v"), 6).alias("v"))
 
 
+def tile_transpose_add(spark: SparkSession, folder: str) -> DataFrame:
+    """ceil(8 (G + t(G))) for the square matrix G of the products of the first columns' rows: E times t(E) by tiles, each of which meets its mirror image."""
+    rows = _rows(spark, folder)
+    n = rows.count()
+    tiles = row_tiles(rows, n, M, 128)
+    square = tile_map(tile_matmul(tiles, tile_transpose(tile_map(tiles, lambda t: t * np.arange(1, t.shape[1] + 1)))), lambda t: np.round(t, 6))
+    total = tile_sum(tile_with_transposed(square, lambda x, y: np.ceil(8 * (x + y) + 0.0301)))
+    return total.select(F.col("total").alias("total"), F.col("n_cells").cast("long").alias("n_cells"))
+
+
 def xty(spark: SparkSession, folder: str) -> DataFrame:
-    return gram(_rows(spark, folder), "label").filter("k = 0").select("j", _round(F.col("v"), 6).alias("v"))
+    return gram(_rows(spark, folder), M, "label").filter("k = 0").select("j", _round(F.col("v"), 6).alias("v"))
 
 
 def _label_means(spark: SparkSession, folder: str) -> np.ndarray:
@@ -129,7 +140,8 @@ def _label_means(spark: SparkSession, folder: str) -> np.ndarray:
 def matmul(spark: SparkSession, folder: str) -> DataFrame:
     """E times the transposed matrix of label means."""
     centres = _rows(spark, folder).select("label", F.posexplode("v").alias("_p", "x")).groupBy("label", "_p").agg(F.avg("x").alias("v"))
-    c = Matrix(centres.select((F.col("label") + 1).cast("long").alias("i"), (F.col("_p") + 1).cast("long").alias("j"), "v"), 10, M)
+    n = table(spark, folder, "embeddings").agg(F.max("label")).first()[0]
+    c = Matrix(centres.select((F.col("label") + 1).cast("long").alias("i"), (F.col("_p") + 1).cast("long").alias("j"), "v"), (n or 0) + 1, M)
     return _cells(spark, folder).matmul(c.t()).df.select("i", "j", _round(F.col("v"), 6).alias("v"))
 
 
@@ -177,6 +189,11 @@ def indicator(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select("o_orderkey", numeric.less_equal(F.col("o_totalprice") / 1e5, F.lit(1.0)).alias("v"))
 
 
+def compare(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = F.col("o_totalprice") / 1e5, F.col("o_custkey").cast("double") / 100
+    return table(spark, folder, "orders").select("o_orderkey", numeric.less(a, b).alias("lt"), numeric.greater(a, b).alias("gt"), numeric.less_equal(a, b).alias("le"))
+
+
 def clamp_ifelse(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", numeric.clamp(F.col("p_size").cast("double"), F.lit(10.0), F.lit(40.0)).alias("v"))
 
@@ -207,6 +224,43 @@ def rand_normal(spark: SparkSession, folder: str) -> DataFrame:
     return generators.rand(spark, 1000, 200, seed=7, pdf="normal").df
 
 
+def rand_moments(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether generated cells have the number, range, mean and spread that their distribution says (within five standard errors)."""
+    kinds = {"uniform": generators.rand(spark, 1000, 200, low=-2.0, high=3.0, seed=7), "normal": generators.rand(spark, 1000, 200, seed=7, pdf="normal"), "sparse": generators.rand(spark, 1000, 200, sparsity=0.3, seed=7)}
+    want = {"uniform": (200_000, -2.0, 3.0, 0.5, 25 / 12), "normal": (200_000, -9.0, 9.0, 0.0, 1.0), "sparse": (60_000, 0.0, 1.0, 0.5, 1 / 12)}
+    out = None
+    for kind, m in kinds.items():
+        n, low, high, mean, var = want[kind]
+        near = lambda c, x, se: F.abs(c - x) <= 5 * se
+        row = m.df.agg(
+            F.lit(kind).alias("kind"), near(F.count("*"), n, 205.0 if kind == "sparse" else 0.0).alias("count_ok"), ((F.min("v") >= low) & (F.max("v") < high)).alias("range_ok"),
+            near(F.avg("v"), mean, (var / n) ** 0.5).alias("mean_ok"), near(F.var_samp("v"), var, var * (2 / n) ** 0.5).alias("spread_ok"), (F.count_distinct("i", "j") == F.count("*")).alias("cells_once"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def blobs_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Points of 8 blobs: whether each of them is nearest to the centre of its label, by label."""
+    x, c, y = generators.blobs(spark, 20_000, 16, 8, 1.0, 0.02, 7)
+    centres = np.zeros((8, 16))
+    for r in c.df.collect():  # k x m
+        centres[r["i"] - 1, r["j"] - 1] = r["v"]
+    told = learn.assign(x, centres).withColumnRenamed("y", "nearest").join(y, "i")
+    return told.groupBy(F.col("y").cast("long").alias("label")).agg((F.sum((F.col("nearest") != F.col("y")).cast("int")) == 0).alias("all_near"))
+
+
+def dataset_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """The programs' data, built a thousandth as large and asked for again: what the first and the second call wrote."""
+    import uuid
+
+    root = f"{shared_folder(spark)}/data-{uuid.uuid4().hex}"
+    first, second = (datasets.build_datasets(spark, root, 0.001) for _ in range(2))
+    out = spark.createDataFrame([(a["name"], a["nrow"], a["ncol"], a["written"], b["written"]) for a, b in zip(first, second)], "name string, nrow long, ncol long, first boolean, again boolean")
+    drop_later(spark, root)
+    return out
+
+
 def blobs(spark: SparkSession, folder: str) -> DataFrame:
     x, _, y = generators.blobs(spark, 20_000, 16, 8, 0.9, 0.1, 7)
     return x.join(y, "i")
@@ -231,6 +285,17 @@ def kmeans(spark: SparkSession, folder: str) -> DataFrame:
     return learn.kmeans(_rows(spark, folder), 10, runs=1, max_iter=30, eps=1e-4, seed=7)[1]
 
 
+def kmeans_given(spark: SparkSession, folder: str) -> DataFrame:
+    """Three steps from given centres."""
+    return learn.kmeans(_rows(spark, folder), 10, max_iter=3, eps=0.0, centres=_label_means(spark, folder))[1].select("i", "y")
+
+
+def pca_norms(spark: SparkSession, folder: str) -> DataFrame:
+    """The squared length of each row projected on all components: that of the centred row."""
+    projected, _, _ = learn.pca(_rows(spark, folder), M)
+    return projected.select("i", _round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+
+
 def pca_total_variance(spark: SparkSession, folder: str) -> DataFrame:
     _, _, variances = learn.pca(_rows(spark, folder), M)
     return spark.createDataFrame([(round(float(variances.sum()), 6),)], "total_variance double")
@@ -305,6 +370,14 @@ def limits(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "run_settings").select("run_id", F.when(both, F.col("cache_eviction_limit")).alias("soft"), F.when(both, F.col("cache_hard_limit")).alias("hard"))
 
 
+def limits_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The limits of a settings file, written from the settings of the first run that has both."""
+    first = table(spark, folder, "run_settings").filter("cache_hard_limit is not null and cache_eviction_limit is not null").orderBy("run_id").limit(1)
+    path = _csv(first.select(F.col("cache_hard_limit").alias("CacheHardLimit"), F.col("cache_eviction_limit").alias("CacheEvictionLimit")), "settings")
+    soft, hard = logs.read_limits(spark, path)
+    return spark.createDataFrame([(soft, hard)], "soft long, hard long")
+
+
 # results and labels
 
 
@@ -334,6 +407,14 @@ def dim_format(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", labels.dimension(n).alias("label"))
 
 
+def dim_extract(spark: SparkSession, folder: str) -> DataFrame:
+    part = table(spark, folder, "part")
+    shape = F.concat_ws(" ", (F.col("p_size") * 1000).cast("string"), F.col("p_partkey").cast("string"), F.lit("1.0"))
+    script = F.when(F.col("p_partkey") % 7 == 0, F.lit("no arguments here")).when(F.col("p_partkey") % 7 == 1, F.concat(F.lit("run_args=( x "), shape, F.lit(" )")))
+    script = script.otherwise(F.concat(F.lit("mode=cp\nrun_args=( "), shape, F.lit(" )\nfor x in 1 2")))
+    return part.select("p_partkey", labels.script_dimensions(script).alias("dims"))
+
+
 def setup_label(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "scheduling_results").select("record_id", labels.setup_label(F.col("setup")).alias("label"))
 
@@ -363,11 +444,27 @@ def result_pivot(spark: SparkSession, folder: str) -> DataFrame:
     return grid.select("experiment", "mode", "conf", F.when(F.isnan("value"), "nan").otherwise(F.round("value", 3).cast("decimal(20,3)").cast("string")).alias("value"))
 
 
+EVENT_TYPES = ["click", "view", "purchase", "signup", "error"]
+
+
 def mode_pivot(spark: SparkSession, folder: str) -> DataFrame:
     """Events by user: the summed value of each type in a column of its own."""
     sums = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 4).alias("value"))
-    wide = results.pivoted(sums, ["user_id"], "event_type", ["click", "view", "purchase"])
-    return wide.select("user_id", *(F.col(c).alias(f"v_{c}") for c in ("click", "view", "purchase")))
+    wide = results.pivoted(sums, ["user_id"], "event_type", EVENT_TYPES)
+    return wide.select("user_id", *(F.col(c).alias(f"v_{c}") for c in EVENT_TYPES))
+
+
+def result_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of each experiment: by mode, the settings by size and the latest results beside them."""
+    latest = table(spark, folder, "results").withColumn("mode", F.lower(F.trim("mode")))
+    latest = results.latest(latest, ["experiment", "mode", "conf"], ["recorded_at", "record_id"], ["rep1", "record_id"])
+    rows = results.result_rows(latest, "mode", "conf", "record_id", F.col("rep1"), ["experiment"])
+    return rows.select("experiment", "mode", F.array_join("confs", ";").alias("confs"), F.array_join("cells", ";").alias("cells"))
+
+
+def sched_axis(spark: SparkSession, folder: str) -> DataFrame:
+    plain = table(spark, folder, "scheduling_results").filter("runtime_s is not null and not isnan(runtime_s)")
+    return results.axis_limit(plain, F.col("runtime_s"), ["setup"], finite=False).select("setup", "top", F.round("axis_top", 6).alias("axis_top"))
 
 
 def sched_pivot(spark: SparkSession, folder: str) -> DataFrame:
@@ -390,24 +487,24 @@ def _csv(df: DataFrame, name: str) -> str:
     import uuid
 
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    drop_later(df.sparkSession, path)
     df.write.option("header", True).option("nanValue", "nan").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 
 def spans_load(spark: SparkSession, folder: str) -> DataFrame:
-    whole = _log(spark, folder).filter("thread_id is not null and caller_id is not null and start_nanos is not null and end_nanos is not null")
-    named = whole.select("span_id", *(F.col(v).alias(k) for k, v in logs.SPAN_COLUMNS.items()))
+    named = _log(spark, folder).select("span_id", *(F.col(v).alias(k) for k, v in logs.SPAN_COLUMNS.items()))
     return logs.read_spans(spark, _csv(named, "spans")).groupBy("thread_id").agg(F.count("*").alias("n"), F.min("start_nanos").alias("first_start"), F.max("end_nanos").alias("last_end"), F.count_distinct("caller_id").alias("n_callers"))
 
 
 def cache_load(spark: SparkSession, folder: str) -> DataFrame:
     names = logs.CACHE_COLUMNS | logs.CACHE_OPTIONAL
-    whole = table(spark, folder, "cache_size_event_log").filter("timestamp_ns is not null and scheduled_eviction_size is not null and cache_size is not null")
+    whole = table(spark, folder, "cache_size_event_log")
     return logs.read_cache_samples(spark, _csv(whole.select(*(F.col(v).alias(k) for k, v in names.items())), "cache"))
 
 
 def results_load(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "results").filter("mode is not null and conf is not null")
+    rows = table(spark, folder, "results")
     path = _csv(rows.select("mode", "conf", "rep1", "rep2", "rep3"), "results")
     loaded = logs.read_results(spark, path)
     return loaded.groupBy("mode", "conf").agg(F.count("*").alias("n"), F.sum(F.isnan("rep1").cast("int")).alias("n_failed"), F.round(F.sum(F.when(~F.isnan("rep2"), F.col("rep2"))), 3).alias("rep2"))
@@ -418,22 +515,37 @@ def matrix_files(spark: SparkSession, folder: str) -> DataFrame:
     import uuid
 
     path = f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex}"
+    drop_later(spark, path)
+    drop_later(spark, f"{path}.mtd")
     write_matrix(_cells(spark, folder), path)
     m = read_matrix(spark, path)
     return m.df.groupBy("i").agg(F.count("*").alias("n_cells"), _round(F.sum("v"), 6).alias("total")).withColumn("n_rows", F.lit(m.nrow).cast("long"))
 
 
 def sched_load(spark: SparkSession, folder: str) -> DataFrame:
-    whole = table(spark, folder, "scheduling_results").filter("runtime_s is not null and not isnan(runtime_s) and setup is not null and exec_mode is not null")
+    whole = table(spark, folder, "scheduling_results")
     path = _csv(whole.select(F.col("setup").alias("Setup"), F.col("exec_mode").alias("ExecMode"), F.col("runtime_s").alias("Runtime [s]")), "scheduling")
-    return logs.read_scheduling(spark, path).groupBy("setup", "exec_mode").agg(F.count("*").alias("n"), F.round(F.sum("runtime_s"), 3).alias("total_s"))
+    known = F.when(~F.isnan("runtime_s"), F.col("runtime_s"))
+    return logs.read_scheduling(spark, path).groupBy("setup", "exec_mode").agg(F.count("*").alias("n"), F.round(F.sum(known), 3).alias("total_s"))
+
+
+def results_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """Results appended to a file in two goes, and read again."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+    drop_later(spark, path)
+    rows = table(spark, folder, "results").select("record_id", "mode", "conf", "rep1", "rep2", "rep3").filter("mode is not null and conf is not null")
+    for half in (0, 1):  # by turns; both are the whole table
+        logs.append_results(rows.filter(F.col("record_id") % 2 == half).drop("record_id"), path)
+    return logs.read_results(spark, path).groupBy("mode", "conf").agg(F.count("*").alias("n"), F.sum(F.isnan("rep1").cast("int")).alias("n_failed"), F.round(F.sum(F.when(~F.isnan("rep3"), F.col("rep3"))), 3).alias("rep3"))
 
 
 QUERIES = [
-    ceil_mean, transpose_add_ceil_mean, transpose_add, sin_mul_chain, right_index, contains_zero, matrix_aggregates, matvec_means, gram_matrix, tile_gram, xty, matmul, onehot, onehot_counts,
-    cell_chain, cell_join, div_ieee, floor_vals, indicator, clamp_ifelse, abs_chain, sqrt_chain, seq_vec, rand_sparse, rand_uniform, rand_normal, blobs,
-    lloyd_assign, lloyd_3, kmeans, pca_total_variance, pca, lm_cg,
-    bounds, thread_count, caller_totals, idle_gaps, islands, segment_totals, rel_time, caller_index, ordered_unique, cache_series, limits,
-    conf_bytes, conf_order, xmx_mb, dim_format, setup_label, exp_title, last_metric, run_status, result_pivot, mode_pivot, sched_pivot, result_axis,
-    spans_load, cache_load, results_load, sched_load, matrix_files,
+    ceil_mean, transpose_add_ceil_mean, transpose_add, sin_mul_chain, right_index, contains_zero, matrix_aggregates, matvec_means, gram_matrix, tile_gram, tile_transpose_add, xty, matmul, onehot, onehot_counts,
+    cell_chain, cell_join, div_ieee, floor_vals, indicator, compare, clamp_ifelse, abs_chain, sqrt_chain, seq_vec, rand_sparse, rand_uniform, rand_normal, rand_moments, blobs, blobs_labels, dataset_matrix,
+    lloyd_assign, lloyd_3, kmeans, kmeans_given, pca_norms, pca_total_variance, pca, lm_cg,
+    bounds, thread_count, caller_totals, idle_gaps, islands, segment_totals, rel_time, caller_index, ordered_unique, cache_series, limits, limits_file,
+    conf_bytes, conf_order, xmx_mb, dim_format, dim_extract, setup_label, exp_title, last_metric, run_status, result_pivot, mode_pivot, result_rows, sched_pivot, sched_axis, result_axis,
+    spans_load, cache_load, results_load, sched_load, results_sink, matrix_files,
 ]

@@ -34,11 +34,19 @@ _CONFS = """confs as (select p_partkey as id, 'part' as tbl, case p_partkey % 5
 
 
 def _bytes(c: str) -> str:
-    heap, size = r"'-xmx\s*(\d+(?:\.\d+)?)\s*([kmgtp]?)(?:i?b)?'", r"'(?:^|[^a-z0-9])(\d+(?:\.\d+)?)\s*([kmgtp]?)(?:i?b)?(?:[^a-z0-9]|$)'"
-    has = f"regexp_matches(lower({c}), {heap})"
-    number = f"case when {has} then regexp_extract(lower({c}), {heap}, 1) else regexp_extract(lower({c}), {size}, 1) end"
-    unit = f"case when {has} then regexp_extract(lower({c}), {heap}, 2) else regexp_extract(lower({c}), {size}, 2) end"
-    return f"(try_cast(nullif({number}, '') as double) * pow(1024, case {unit} when 'k' then 1 when 'm' then 2 when 'g' then 3 when 't' then 4 when 'p' then 5 else 0 end))"
+    """Word by word: a number with its unit in the same or the next word; the word behind the heap option comes first."""
+    words = f"list_filter(string_split_regex(regexp_replace(replace(lower({c}), '-xmx', ' ^ '), '[^a-z0-9.^\\s]', ' | ', 'g'), '\\s+'), lambda w: w <> '')"
+    power = "list_position(['', 'k', 'm', 'g', 't', 'p'], regexp_replace({0}, 'i?b$', '')) - 1"
+    number, unit = "regexp_extract(w, '^[0-9]+([.][0-9]+)?')", "substr(w, len(regexp_extract(w, '^[0-9]+([.][0-9]+)?')) + 1)"
+    own, after = power.format(unit), power.format("coalesce(ws[i + 1], '-')")
+    scale = f"case when {unit} = '' then pow(1024, coalesce({after}, 0)) else pow(1024, {own}) end"
+    amounts = f"list_transform({words}, lambda w, i: struct_pack(b := try_cast(nullif({number}, '') as double) * {scale.replace('ws[', words + '[')}, h := i > 1 and ({words})[i - 1] = '^'))"
+    return f"(select coalesce(list_filter(f, lambda x: x.h)[1].b, f[1].b) from (select list_filter({amounts}, lambda x: x.b is not null) as f))"
+
+
+def _dim(n: str) -> str:
+    steps = " ".join(f"when {n} >= {size} and {n} % {size} = 0 then {n} // {size} || '{u}'" for size, u in ((10**9, "B"), (10**6, "M"), (10**3, "k")))
+    return f"case {steps} else {n}::varchar end"
 
 
 _NUMBER = r"([-+]?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)"
@@ -133,18 +141,39 @@ ORACLE = {
         select s.experiment, s.mode, a.conf, case when rep1 is null or isnan(rep1) then 'nan' else round(rep1, 3)::decimal(20, 3)::varchar end as value
         from s join a on s.experiment = a.experiment left join l on l.experiment = s.experiment and l.mode = s.mode and l.conf = a.conf""",
     "mode_pivot": """with t as (select user_id, event_type, round(sum(value), 4) as v from events group by all)
-        select user_id, max(v) filter (where event_type = 'click') as v_click, max(v) filter (where event_type = 'view') as v_view, max(v) filter (where event_type = 'purchase') as v_purchase from t group by user_id""",
+        select user_id, max(v) filter (where event_type = 'click') as v_click, max(v) filter (where event_type = 'view') as v_view, max(v) filter (where event_type = 'purchase') as v_purchase,
+            max(v) filter (where event_type = 'signup') as v_signup, max(v) filter (where event_type = 'error') as v_error from t group by user_id""",
     "sched_pivot": """with r as (select setup, lower(trim(exec_mode)) as mode, max(runtime_s) as value from scheduling_results where runtime_s is not null and not isnan(runtime_s) and exec_mode is not null group by all)
         select mode, setup, value from r where setup in (select setup from r group by setup having count(*) = (select count(distinct mode) from r))""",
     "result_axis": """with t as (select experiment, coalesce(max(rep1) filter (where not isnan(rep1) and not isinf(rep1)), 1.0) as top from results group by 1) select experiment, top, round(top * 1.18, 6) as axis_top from t""",
-    "spans_load": """select thread_id, count(*) as n, min(start_nanos) as first_start, max(end_nanos) as last_end, count(distinct caller_id) as n_callers from compute_event_log
-        where thread_id is not null and caller_id is not null and start_nanos is not null and end_nanos is not null group by thread_id""",
+    "spans_load": """select thread_id, count(*) as n, min(start_nanos) as first_start, max(end_nanos) as last_end, count(distinct coalesce(caller_id, '')) as n_callers from compute_event_log group by thread_id""",
     "cache_load": """select timestamp_ns, scheduled_eviction_size, cache_size, coalesce(pinned_size, 0) as pinned_size, coalesce(read_reserved_size, 0) as read_reserved_size from cache_size_event_log
-        where timestamp_ns is not null and scheduled_eviction_size is not null and cache_size is not null""",
-    "results_load": """select mode, conf, count(*) as n, count(*) filter (where rep1 is null or isnan(rep1)) as n_failed, round(sum(rep2) filter (where not isnan(rep2)), 3) as rep2 from results
-        where mode is not null and conf is not null group by all""",
+        """,
+    "results_load": """select mode, conf, count(*) as n, count(*) filter (where rep1 is null or isnan(rep1)) as n_failed, round(sum(rep2) filter (where not isnan(rep2)), 3) as rep2 from results group by all""",
 }
 ORACLE["matrix_files"] = f"with {_E} select i, count(*) as n_cells, round(sum(v), 6) + 0.0::double as total, (select count(*) from embeddings) as n_rows from E group by i"
-ORACLE["sched_load"] = """select setup, exec_mode, count(*) as n, round(sum(runtime_s), 3) as total_s from scheduling_results
-    where runtime_s is not null and not isnan(runtime_s) and setup is not null and exec_mode is not null group by all"""
+ORACLE["sched_load"] = "select setup, exec_mode, count(*) as n, round(sum(runtime_s) filter (where not isnan(runtime_s)), 3) as total_s from scheduling_results group by all"
+ORACLE["results_sink"] = """select mode, conf, count(*) as n, count(*) filter (where rep1 is null or isnan(rep1)) as n_failed, round(sum(rep3) filter (where not isnan(rep3)), 3) as rep3 from results
+    where mode is not null and conf is not null group by all"""
+ORACLE["compare"] = """with c as (select o_orderkey, o_totalprice / 1e5 as a, o_custkey::double / 100 as b from orders)
+    select o_orderkey, (a < b)::int::double as lt, (a > b)::int::double as gt, (a <= b)::int::double as le from c"""
+ORACLE["rand_moments"] = "select kind, true as count_ok, true as range_ok, true as mean_ok, true as spread_ok, true as cells_once from (values ('uniform'), ('normal'), ('sparse')) t(kind)"
+ORACLE["blobs_labels"] = "select label, true as all_near from range(1, 9) t(label)"
+ORACLE["dataset_matrix"] = """select name, nrow::bigint as nrow, ncol::bigint as ncol, true as first, false as again from (values ('mat_10000x10000_1', 10, 10), ('mat_10000x10000_2', 10, 10), ('mat_10000x10000_3', 10, 10),
+    ('mat_1000000x1000_1', 1000, 1000), ('mat_1000000x1000_2', 1000, 1000), ('mat_1000000x1_1', 1000, 1), ('mat_1000000x1_2', 1000, 1),
+    ('blobs_4000000x256_1_X', 4000, 256), ('blobs_4000000x256_1_C', 32, 256), ('blobs_4000000x256_1_Y', 4000, 1)) t(name, nrow, ncol)"""
+ORACLE["kmeans_given"] = ORACLE["lloyd_3"]
+ORACLE["pca_norms"] = f"with {_E}, m as (select j, avg(v) as a from E group by j) select i, round(sum((v - a) ** 2), 6) + 0.0::double as norm from E join m using (j) group by i"
+ORACLE["tile_transpose_add"] = f"""with {_E}, g as (select a.i, b.i as j, round(sum(a.v * b.v * j), 6) as v from E a join E b using (j) group by a.i, b.i)
+    select sum(ceil(8 * (x.v + y.v) + 0.0301)) as total, count(*) as n_cells from g x join g y on x.i = y.j and x.j = y.i"""
+ORACLE["limits_file"] = """select cache_eviction_limit as soft, cache_hard_limit as hard from run_settings where cache_hard_limit is not null and cache_eviction_limit is not null order by run_id limit 1"""
+ORACLE["dim_extract"] = f"""with n as (select p_partkey, p_size * 1000 as a, p_partkey as b from part)
+    select p_partkey, case when p_partkey % 7 > 1 then {_dim('a')} || ' x ' || {_dim('b')} end as dims from n"""
+ORACLE["sched_axis"] = "select setup, max(runtime_s) as top, round(max(runtime_s) * 1.18, 6) as axis_top from scheduling_results where runtime_s is not null and not isnan(runtime_s) group by setup"
+ORACLE["result_rows"] = f"""with l as (select experiment, lower(trim(mode)) as mode, conf, arg_max(row(rep1), row(recorded_at, record_id))[1] as rep1, arg_max(record_id, row(recorded_at, record_id)) as pos from results group by all),
+    ok as (select *, {_bytes('conf')} as size from l where mode is not null and conf is not null),
+    a as (select experiment, conf, any_value(size) as size, min(pos) as first from ok group by all), s as (select distinct experiment, mode from ok),
+    full_ as (select s.experiment, s.mode, a.conf, a.size, a.first, case when ok.rep1 is null or isnan(ok.rep1) then 'nan' else round(ok.rep1, 3)::decimal(20, 3)::varchar end as cell
+              from s join a on s.experiment = a.experiment left join ok on ok.experiment = s.experiment and ok.mode = s.mode and ok.conf = a.conf)
+    select experiment, mode, string_agg(conf, ';' order by size is null, size, first, conf) as confs, string_agg(cell, ';' order by size is null, size, first, conf) as cells from full_ group by all"""
 ORACLE["tile_gram"] = ORACLE["gram_matrix"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators.intervals import interval_gaps, merge_intervals
 from quern.operators.regular_grid import regular_grid
 from quern.operators.skew import fragment_replicate_join, keyed_totals, large_keys
-from quern.operators.units import recorded_units
+from quern.operators.units import SECONDS, recorded_units
 from quern.sources.tables import table
 
 STEP_NS = 100_000_000
@@ -75,6 +75,14 @@ def p3_seconds(spark: SparkSession, folder: str) -> DataFrame:
     return _units(spark, folder).select("tbl", "record_id", "unit", "seconds")
 
 
+def p3_complete(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether every number of results and of the block length runs comes out once, and seconds are its value in the unit said."""
+    rows = _units(spark, folder).filter("tbl != 'scheduling_results'")
+    factor = F.create_map(*(F.lit(x) for pair in SECONDS.items() for x in pair))
+    right = F.abs(F.col("seconds") - F.col("value") * F.element_at(factor, F.col("unit"))) <= 1e-12 * F.abs("seconds")
+    return rows.groupBy("tbl").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("n_records"), F.round(F.sum("value"), 3).alias("sum_written"), (F.sum((~right).cast("int")) == 0).alias("converted"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return interval_gaps(table(spark, folder, "compute_event_log"), THREAD)
 
@@ -96,7 +104,7 @@ def p5_grid(spark: SparkSession, folder: str) -> DataFrame:
     return _grid(spark, folder)
 
 
-QUERIES = [p2_found, p2_caller_totals, p2_slow_spans, p2_spans_with_reads, p3_found, p3_seconds, p4_found, p4_periods, p5_found, p5_grid]
+QUERIES = [p2_found, p2_caller_totals, p2_slow_spans, p2_spans_with_reads, p3_found, p3_seconds, p3_complete, p4_found, p4_periods, p5_found, p5_grid]
 
 
 _ROWS = "select caller_id, end_nanos - start_nanos as d from compute_event_log where end_nanos > start_nanos"
@@ -124,6 +132,9 @@ ORACLE = {
             coalesce(sum(end_nanos - start_nanos) filter (where end_nanos > start_nanos), 0) as read_ns from disk_read_event_log group by caller_id)
         select s.caller_id, coalesce(max(n_reads), 0) as n_reads, coalesce(max(read_bytes), 0) as read_bytes, count(*) as n_spans,
             count(*) filter (where d * n_reads < read_ns) as n_short from spans s left join reads r on s.caller_id is not distinct from r.caller_id group by s.caller_id""",
+    "p3_complete": """with r as (select 'results' as tbl, record_id, rep1 as v from results where rep1 is not null and not isnan(rep1)
+            union all select 'results_blen_primitive_chain', record_id, time_ms::double from results_blen_primitive_chain where time_ms is not null)
+        select tbl, count(*) as n, count(distinct record_id) as n_records, round(sum(v), 3) as sum_written, true as converted from r group by tbl""",
     "p4_found": """with spans as (select run_id, thread_id, start_nanos as s, end_nanos as e from compute_event_log
                                   where run_id is not null and thread_id is not null and end_nanos > start_nanos),
         reached as (select *, max(e) over (partition by run_id, thread_id order by s rows between unbounded preceding and 1 preceding) as r from spans)

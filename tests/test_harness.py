@@ -36,3 +36,11 @@ def test_sweep_and_run_all(spark):
     assert [(r["mode"], r["conf"], r["status"]) for r in rows] == [(m, c, s) for c in ("1g", "2g") for m, s in (("good", "ok"), ("bad", "failed"), ("not", "skipped"))]
     assert calls == ["1g"] * 3 + ["2g"] * 3 and rows[0]["rep2"] >= 0 and math.isnan(rows[1]["rep1"])
     assert harness.run_all({"a": lambda: None, "b": lambda: 1 / 0}) == ({"a": "ok", "b": "failed"}, 1)
+
+
+def test_profiles_and_plans(spark):
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    with harness.profile(spark, "out_of_core"):
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "33554432"
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == was
+    assert "Range" in harness.explained(spark.range(3))

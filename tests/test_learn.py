@@ -41,3 +41,10 @@ def test_pca_matches_an_eigendecomposition(rows):
     assert all(loadings[np.abs(loadings[:, k]).argmax(), k] > 0 for k in range(2))
     got = np.array([r["v"] for r in projected.orderBy("i").collect()])
     assert np.allclose(got, (X - X.mean(axis=0)) @ loadings)
+
+
+def test_cost_is_that_of_the_centres_returned(rows):
+    got, assigned, cost = learn.kmeans(rows, 4, runs=2, max_iter=2, seed=3)
+    d = ((X[:, None] - got[None]) ** 2).sum(axis=2).min(axis=1)
+    assert cost == pytest.approx(d.sum()) and len(learn.first_centres(rows, 4, 3)) == 4
+    assert len(learn.first_centres(rows.limit(1), 4, 3)) == 1

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import numeric
-from quern.operators import generators
+from quern.operators import generators, tiles
 from quern.operators.matrix import Matrix, as_matrix, as_scalar, column_of, contingency, gram, matvec
 from quern.operators.tiles import from_tiles, tile_matmul, to_tiles
 from quern.sources.matrices import matrix_exists, read_matrix, write_matrix
@@ -68,14 +68,37 @@ def test_vectors_scalars_tables(spark):
 def test_row_layout_and_tiles(spark):
     rows = spark.createDataFrame([(i + 1, B[i].tolist(), float(i)) for i in range(4)], "i long, v array<double>, y double").repartition(3)
     got = np.zeros((3, 4))
-    for r in gram(rows, "y").collect():
+    for r in gram(rows, 3, "y").collect():
         got[r["j"] - 1, r["k"]] = r["v"]
     assert np.allclose(got[:, 1:], B.T @ B) and np.allclose(got[:, 0], B.T @ np.arange(4.0))
     assert [r["v"] for r in matvec(rows, [1, 2, 3]).orderBy("i").collect()] == (B @ [1, 2, 3]).tolist()
     m = matrix(spark, B, True)
     assert (array(from_tiles(to_tiles(m, 2), 4, 3, 2)) == B).all()
     assert np.allclose(array(from_tiles(tile_matmul(to_tiles(m, 2), to_tiles(m.t(), 2)), 4, 4, 2)), B @ B.T)
-    assert gram(rows.limit(0)).count() == 0
+    assert gram(rows.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_tile_programs(spark, few, monkeypatch):
+    monkeypatch.setattr(tiles, "BROADCAST_TILES", few)
+    r = np.random.default_rng(5)
+    a, b = r.normal(size=(7, 5)), r.normal(size=(5, 9))
+    rows = lambda x: spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>").repartition(3)
+    ta, tb = tiles.row_tiles(rows(a), 7, 5, 2), tiles.row_tiles(rows(b), 5, 9, 2)
+    back = lambda t, n, m: array(from_tiles(t, n, m, 2))
+    assert np.allclose(back(tile_matmul(ta, tb), 7, 9), a @ b)
+    assert np.allclose(back(tile_matmul(tiles.tile_transpose(ta), ta), 5, 5), a.T @ a)
+    s = r.normal(size=(7, 7))
+    ts = tiles.row_tiles(rows(s), 7, 7, 3)
+    assert np.allclose(array(from_tiles(tiles.tile_with_transposed(ts, lambda x, y: x - 2 * y), 7, 7, 3)), s - 2 * s.T)
+    assert np.allclose(array(from_tiles(tiles.tile_with_transposed(ts.filter("bi <= bj"), lambda x, y: x + y), 7, 7, 3))[0:3, 6:7], s[0:3, 6:7])
+    assert np.allclose(array(from_tiles(tiles.tile_zip(ts, ts.filter("bi = 0"), lambda x, y: x + y), 7, 7, 3))[:3], 2 * s[:3])
+    total = tiles.tile_sum(tiles.tile_map(ts, np.ceil)).first()
+    assert total["total"] == np.ceil(s).sum() and total["n_cells"] == 49
+    assert tiles.tile_sum(ts.limit(0)).first()["n_cells"] == 0 and tile_matmul(ta.limit(0), tb).count() == 0
+    made = tiles.rand_tiles(spark, 70, 30, seed=2, block=16)
+    got = array(from_tiles(made, 70, 30, 16))
+    assert (got == array(from_tiles(tiles.rand_tiles(spark, 70, 30, seed=2, block=16), 70, 30, 16))).all() and 0 <= got.min() and 0.45 < got.mean() < 0.55 and (got > 0).all()
 
 
 def test_files_keep_the_shape(spark, tmp_path):

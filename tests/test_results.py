@@ -13,6 +13,7 @@ def one(spark, f, *values):
 
 
 def test_memory_texts(spark):
+    assert one(spark, labels.conf_bytes, "8 gib heap", "x|16 MB", "1.5.2", "run -Xmx 2g of 64g", "-xmx", "heap of 3 kilos") == [8 * 2**30, 16 * 2**20, None, 2 * 2**30, None, 3]
     confs = ["java -Xmx4g -jar", "-xmx512MiB", "2g", "1.5t", "100 k", "64", "cfg12", "auto", "", None, "a 3g b 4g"]
     assert one(spark, labels.conf_bytes, *confs) == [4 * 2**30, 512 * 2**20, 2 * 2**30, 1.5 * 2**40, 100 * 1024, 64, None, None, None, None, 3 * 2**30]
     assert one(spark, labels.heap_megabytes, "java -Xmx4g -jar", "-Xmx512m", "-Xmx2048k", "none", None) == [4096, 512, 2, 1024, 1024]
@@ -26,7 +27,8 @@ def test_names(spark):
     assert [r[0] for r in spark.createDataFrame([(x,) for x in n], "n long").select(labels.dimension(F.col("n"))).collect()] == ["1M", "1k", "1500", "2B", "999", "0"]
     assert one(spark, labels.script_dimensions, "run_args=( 10000 1000000 1.0 )", "x") == ["10k x 1M", None]
     assert labels.setup_dimensions('read("../../data/blobs/8gb_X")', 'blob_base="data/blobs/8gb"\nrun -args 4000000 256 32 1.0 0.1 7 "$blob_base"') == "4M x 256"
-    assert labels.setup_dimensions("", "") is None
+    assert labels.setup_dimensions("", "") is None and labels.setup_dimensions('read("../../data/blobs/8gb_X")', 'b="data/blobs/8gb" -args 12') is None
+    assert one(spark, labels.script_dimensions, "run_args=(10000)", "run_args=()", "run_args=( 1500 3 )", None) == [None, None, "1500 x 3", None]
 
 
 def test_metrics(spark):
@@ -57,6 +59,13 @@ def test_grids(spark):
     assert {r["k"]: r["v"] for r in newest.collect()} == {"a": None, "b": 2.0}
 
 
+def test_rows_of_results_in_order_of_size(spark):
+    df = spark.createDataFrame([("a", "cp", "10g", 1, 1.5), ("a", "cp", "512m", 2, float("nan")), ("a", "ooc", "auto", 3, 2.0), ("b", "cp", "1g", 4, None), ("b", None, "1g", 5, 1.0)], "e string, m string, c string, pos int, v double")
+    got = {(r["e"], r["m"]): (r["confs"], r["cells"]) for r in results.result_rows(df, "m", "c", "pos", F.col("v"), ["e"]).collect()}
+    assert got == {("a", "cp"): (["512m", "10g", "auto"], ["nan", "1.500", "nan"]), ("a", "ooc"): (["512m", "10g", "auto"], ["nan", "nan", "2.000"]), ("b", "cp"): (["1g"], ["nan"])}
+    assert results.axis_limit(df, F.col("v"), ["e"], finite=False).filter("e = 'b'").first()["top"] == 1.0
+
+
 def test_axis(spark):
     df = spark.createDataFrame([("a", 2.0), ("a", float("nan")), ("a", float("inf")), ("b", float("nan")), ("c", None)], "g string, v double")
     assert {r["g"]: r["top"] for r in results.axis_limit(df, F.col("v"), ["g"]).collect()} == {"a": 2.0, "b": 1.0, "c": 1.0}
