@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,26 @@ def rand(spark: SparkSession, rows: int, cols: int, low: float = 0.0, high: floa
     return Matrix(cells.select("i", "j", value.alias("v")), rows, cols, dense=sparsity >= 1)
 
 
+#: Rows that are generated from one seed.
+BAND = 1024
+
+
+def rand_rows(spark: SparkSession, rows: int, cols: int, seed: int = 0, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """A dense uniform matrix in row layout (``i`` from 1, ``v``), generated by bands of rows: a band's numbers depend on seed and place alone."""
+    bands = -(-rows // BAND)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                n = min(BAND, rows - b * BAND)
+                v = low + (high - low) * np.random.default_rng([seed, b]).random((n, cols))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * cols, pa.int32()), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + b * BAND + 1), lists], names=["i", "v"])
+
+    parts = min(max(bands // 4, 1), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.range(0, bands, 1, parts).mapInArrow(make, "i long, v array<double>")
+
+
 def blobs(spark: SparkSession, rows: int, cols: int, k: int, sparsity: float, sd: float, seed: int) -> tuple[DataFrame, Matrix, DataFrame]:
     """Points around ``k`` centres: X in row layout (``i, v``), centres C, and labels Y (``i, y``, from 1).
 

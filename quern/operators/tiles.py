@@ -100,6 +100,22 @@ def tile_map(tiles: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFra
     return tiles.mapInArrow(run, SCHEMA)
 
 
+def tile_crop(tiles: DataFrame, rows: tuple[int, int], cols: tuple[int, int], block: int = 512) -> DataFrame:
+    """The cells of rows and columns from - to (from 1, both included): tiles outside aren't read, those at the edges are cut and keep their block numbers.
+
+    What comes out can be mapped and summed; it is no tiling of the cut matrix by the same block.
+    """
+    (a, b), (c, d) = rows, cols
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = lambda i, j, t: t[max(a - 1 - i * block, 0) : b - i * block, max(c - 1 - j * block, 0) : d - j * block]
+            yield from _batches([(i, j, cut(i, j, t)) for i, j, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch, "v", ("r", "c")))])
+
+    inside = F.col("bi").between((a - 1) // block, (b - 1) // block) & F.col("bj").between((c - 1) // block, (d - 1) // block)
+    return tiles.filter(inside).mapInArrow(run, SCHEMA)
+
+
 def tile_transpose(tiles: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.generators import blobs
+from quern.operators.generators import blobs, rand_rows
 from quern.operators.tiles import rand_tiles
 from quern.sources.matrices import matrix_exists
 
@@ -53,7 +53,8 @@ def build_datasets(spark: SparkSession, root: str, scale: float = 1.0, datasets:
                 x, c, y = blobs(spark, nrow, ncol, d.clusters, 1.0, BLOB_SD, BLOB_SEED)
                 parts = [("_X", x, nrow, ncol), ("_C", c.df, d.clusters, ncol), ("_Y", y.select("i", F.lit(1).cast("long").alias("j"), F.col("y").cast("double").alias("v")), nrow, 1)]
             else:
-                parts = [("", rand_tiles(spark, nrow, ncol, seed=copy), nrow, ncol)]
+                made = rand_tiles if d.ncol == d.nrow else rand_rows
+                parts = [("", made(spark, nrow, ncol, seed=copy), nrow, ncol)]
             for suffix, df, r, c in parts:
                 out.append({"name": f"{d.name}_{copy}{suffix}", "path": base + suffix, "nrow": r, "ncol": c, "written": _write(df, base + suffix, r, c, skip_existing)})
     return out

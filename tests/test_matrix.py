@@ -93,6 +93,10 @@ def test_tile_programs(spark, few, monkeypatch):
     assert np.allclose(array(from_tiles(tiles.tile_with_transposed(ts, lambda x, y: x - 2 * y), 7, 7, 3)), s - 2 * s.T)
     assert np.allclose(array(from_tiles(tiles.tile_with_transposed(ts.filter("bi <= bj"), lambda x, y: x + y), 7, 7, 3))[0:3, 6:7], s[0:3, 6:7])
     assert np.allclose(array(from_tiles(tiles.tile_zip(ts, ts.filter("bi = 0"), lambda x, y: x + y), 7, 7, 3))[:3], 2 * s[:3])
+    for rc in (((2, 5), (3, 7)), ((4, 4), (1, 7)), ((1, 7), (1, 7))):
+        (x, y), (z, w) = rc
+        cut = tiles.tile_sum(tiles.tile_crop(ts, *rc, block=3)).first()
+        assert np.isclose(cut["total"], s[x - 1 : y, z - 1 : w].sum()) and cut["n_cells"] == (y - x + 1) * (w - z + 1)
     total = tiles.tile_sum(tiles.tile_map(ts, np.ceil)).first()
     assert total["total"] == np.ceil(s).sum() and total["n_cells"] == 49
     assert tiles.tile_sum(ts.limit(0)).first()["n_cells"] == 0 and tile_matmul(ta.limit(0), tb).count() == 0
@@ -120,4 +124,6 @@ def test_generators(spark):
         assert np.abs(np.array(r["v"]) - centres[labels[r["i"]] - 1]).max() < 0.08
     masked = generators.blobs(spark, 200, 4, 3, 0.5, 0.01, 7)[0].collect()
     assert 0.4 < np.mean([v == 0 for r in masked for v in r["v"]]) < 0.6
+    made = sorted(generators.rand_rows(spark, 2500, 3, seed=4).collect())
+    assert [r["i"] for r in made] == list(range(1, 2501)) and made == sorted(generators.rand_rows(spark, 2500, 3, seed=4).repartition(3).collect()) and 0 <= min(map(min, (r["v"] for r in made)))
     assert generators.blob_base(2, 3, 4, 1.0, 0.1, 7) == "data/blobs_2x3k4s1.0n0.1_seed7"

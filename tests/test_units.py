@@ -16,6 +16,24 @@ CELLS = {
     "PT1M2.5S": ("clock", 62.5), "PT2.5S": ("unit", 2.5), "1'2.5\"": ("clock", 62.5), "n/a": (None, None), "killed": (None, None), "": (None, None), "> 4 min, stopped": (None, None), "timeout (200 s)": (None, None),
 }
 
+#: Written without looking at any table, after the patterns; none was mended for them.
+HELD_OUT = {
+    "values are milliseconds": "ms", "time unit: us": "us", "measured in nanoseconds": "ns", "(min)": "min", "Dauer in Minuten": "min", "durée en secondes": "s",
+    "durations given in hours": "h", "[µsec]": "us", "unit ms": "ms", "times: ns": "ns", "runtime_ms": "ms", "elapsed (sec)": "s", "the column is in usecs": "us",
+    "logged as minutes": "min", "reported in milli seconds": "ms", "killed after 30 s": None, "timeout 5 min": None, "second run was slower": None,
+    "retry within the hour": None, "hour-long queue before start": None, "not ms but us": "us", "converted to seconds": "s", "micros": "us", "wall time, nanos": "ns",
+    "in Sekunden": "s", "czas w milisekundach": "ms", "each step took 2 ms, values in s": "s", "sleep 100 ms between runs; numbers are us": "us", "time/min": "min",
+    "unit = h": "h", "every 5 minutes a sample; times in ns": "ns", "one minute of warm-up not counted": None, "the last second is cut off": None,
+    "exported by the harness, milliseconds per iteration": "ms", "tempo em minutos": "min", "ran for hours before it stopped": None, "time_us": "us",
+    "secs, wall clock": "s", "rounded to the nearest millisecond, values in s": "s", "micro benchmark of the allocator": None, "Hours are full hours.": "h",
+    "msecs since start": "ms",
+}
+
+
+def test_accuracy_on_texts_held_out(spark):
+    got = {r["text"]: r["unit"] for r in stated_units(spark.createDataFrame([(t,) for t in HELD_OUT], "text string")).collect()}
+    assert sum(got.get(t) == u for t, u in HELD_OUT.items()) >= 0.9 * len(HELD_OUT)
+
 
 def test_texts_state_their_own_unit_only(spark):
     df = spark.createDataFrame([(t,) for t in STATES], "text string")
