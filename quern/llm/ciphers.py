@@ -16,9 +16,11 @@ import numpy as np
 #: Steps of a run, starts that are followed to the end, and the weight of the unknown beside a start's letter.
 STEPS, STARTS, OPEN = 25, 6, 0.15
 #: A symbol is learned if it stands in so many pairs, and a cipher needs so many symbols and pairs in all.
-SYMBOL_PAIRS, LEAST_SYMBOLS, LEAST_PAIRS = 4.0, 3, 60.0
+SYMBOL_PAIRS, LEAST_SYMBOLS, LEAST_PAIRS = 4.0, 3, 250.0
 #: By how many nats a pair the deciphered text must be likelier than the given one, and how near it must come to clean text in the same letters.
-GAIN, FIT = 1.5, 1.0
+GAIN, FIT = 1.5, 0.5
+#: Part of a symbol's pairs that must speak for its letter.
+SURE = 0.35
 #: Letters that stand in fewer clean pairs can't be learned.
 LETTER_PAIRS = 12.0
 SMOOTH = 0.3
@@ -163,7 +165,7 @@ def learn_cipher(pairs: Pairs, clean: Pairs, whole: Margins, pages: list[dict[st
     learned: dict[str, str] = {}
     taken: set[int] = set()
     for i in np.argsort(-table.max(axis=1)):
-        if best[i] not in taken and table[i, best[i]] >= SYMBOL_PAIRS / 2:
+        if best[i] not in taken and table[i, best[i]] >= max(SYMBOL_PAIRS / 2, SURE * table[i].sum()):
             taken.add(int(best[i]))
             if letters[best[i]] != symbols[i]:
                 learned[symbols[i]] = letters[best[i]]

@@ -185,7 +185,7 @@ class Pages:
                 text = self.peel(run + "\xa0", w, partly)
                 if text is not None:
                     out.append((base + w, text))
-            if len(run) > 3:
+            if len(run) > 1:
                 raw = self.encode(run, w)
                 for j in (1, 2):
                     try:
@@ -283,7 +283,7 @@ def runs(text: str) -> list[tuple[int, int]]:
     if plain and not shared_pages().leads.isdisjoint(text):
         for m in MIXED_RUN.finditer(text):
             run = m.group()
-            if len(run) > 5 and any(c < "\x80" for c in run) and shared_pages().mixed(run):
+            if len(run) > 2 and any(c < "\x80" for c in run) and shared_pages().mixed(run):
                 out.append(m.span())
     if not out:
         return plain
