@@ -115,6 +115,12 @@ class Matrix:
         listed = F.coalesce(F.bool_or(F.col("v") == F.lit(pattern)), F.lit(False))
         return listed if self.dense or pattern != 0 else listed | (F.count("*") < F.lit(self.nrow * self.ncol))
 
+    def has(self, pattern: float) -> bool:
+        """As ``contains``, answered at the first cell found: an action, which reads no more than it needs."""
+        if not self.df.filter(F.col("v") == F.lit(pattern)).limit(1).isEmpty():
+            return True
+        return not self.dense and pattern == 0 and self.df.count() < self.nrow * self.ncol
+
     def rows(self) -> DataFrame:
         """Row layout: ``i`` and the array of its ``ncol`` cells."""
         filled = self.df.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("_m"))

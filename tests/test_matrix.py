@@ -46,6 +46,7 @@ def test_aggregates_see_unlisted_zeros(spark, sparse):
     a = matrix(spark, np.abs(A) + np.array([[0.0], [0.0], [0.0], [0.0]]), sparse)
     r = a.df.agg(a.sum().alias("s"), a.mean().alias("m"), a.min().alias("l"), a.contains(0).alias("z"), a.contains(4).alias("f"), a.contains(9).alias("n")).first()
     assert r["s"] == np.abs(A).sum() and r["m"] == pytest.approx(np.abs(A).mean()) and r["l"] == 0 and r["z"] and r["f"] and not r["n"]
+    assert a.has(0) and a.has(4) and not a.has(9) and not matrix(spark, B + 100, sparse).has(0)
 
 
 def test_shapes_are_checked(spark):
