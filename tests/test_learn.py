@@ -47,4 +47,4 @@ def test_cost_is_that_of_the_centres_returned(rows):
     got, assigned, cost = learn.kmeans(rows, 4, runs=2, max_iter=2, seed=3)
     d = ((X[:, None] - got[None]) ** 2).sum(axis=2).min(axis=1)
     assert cost == pytest.approx(d.sum()) and len(learn.first_centres(rows, 4, 3)) == 4
-    assert len(learn.first_centres(rows.limit(1), 4, 3)) == 1
+    assert len(learn.first_centres(rows.filter("i = 0"), 4, 3)) == 1
